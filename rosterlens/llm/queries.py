@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import canonical, lexicon, mojibake
+from . import canonical, lexicon, lookalikes, mojibake
 
 
 def reference_lists(spark: SparkSession, folder: str) -> tuple[dict[str, list], dict[str, list[str]]]:
@@ -47,8 +47,23 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return p4_restored(spark, folder).select("table_name", "record_id").distinct()
 
 
+def p5_unified(spark: SparkSession, folder: str) -> DataFrame:
+    """Names and labels in one form, with what they held; garbled names are left to p4."""
+    sheets = table(spark, folder, "talent_finder_template")
+    a = lookalikes.unify(sheets, "name", ["sheet_id"]).withColumn("sheet_id", F.col("sheet_id").cast("string"))
+    b = lookalikes.unify(table(spark, folder, "candidate"), "label", ["entity_id"])
+    both = a.select(F.lit("talent_finder_template").alias("table_name"), F.col("sheet_id").alias("record_key"), "text", "unified", "kinds")
+    return both.unionByName(b.select(F.lit("candidate").alias("table_name"), F.col("entity_id").alias("record_key"), "text", "unified", "kinds"))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    hits = p5_unified(spark, folder).filter(F.size("kinds") > 0).select("table_name", "record_key")
+    garbled = _garbled(spark, folder)[0].select(F.lit("talent_finder_template").alias("table_name"), F.col("sheet_id").cast("string").alias("record_key"))
+    return hits.join(garbled, ["table_name", "record_key"], "left_anti").distinct()
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_mapped, p4_found, p4_restored)}
+    return {f.__name__: f for f in (p5_found, p5_unified, p2_found, p2_mapped, p4_found, p4_restored)}
 
 
 def oracle_sql() -> dict[str, str]:
