@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import canonical, lexicon, lookalikes, mojibake
+from . import canonical, lexicon, linkage, lookalikes, mojibake, variants
 
 
 def reference_lists(spark: SparkSession, folder: str) -> tuple[dict[str, list], dict[str, list[str]]]:
@@ -62,8 +62,55 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return hits.join(garbled, ["table_name", "record_key"], "left_anti").distinct()
 
 
+def _roles_of(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "role_ref")
+
+
+def _candidates(spark: SparkSession, folder: str, common: dict[str, int]) -> DataFrame:
+    """Candidate records taken apart; buckets that only the occupations tell are added to the roles."""
+    cand = table(spark, folder, "candidate").dropDuplicates(["entity_id"])
+    buckets = {r.occupation: r.bucket for r in _roles_of(spark, folder).collect()}  # 39 rows
+    of = F.create_map(*[F.lit(x) for kv in buckets.items() for x in kv])
+    told = F.array_distinct(F.concat(F.coalesce("roles", F.array().cast("array<string>")), F.array_compact(F.transform(F.coalesce("occupations", F.array().cast("array<string>")), lambda o: F.try_element_at(of, o)))))
+    names = linkage.parse_names(cand, "entity_id", "label", common).withColumnRenamed("name", "label")
+    return names.join(cand.select("entity_id", "occupations", told.alias("roles"), "birth_year", "death_year", "citizenship"), "entity_id")
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p1_linked(spark, folder).select("intake_id", "entity_id")
+
+
+def p1_linked(spark: SparkSession, folder: str) -> DataFrame:
+    intake, cand = table(spark, folder, "intake").dropDuplicates(["intake_id"]), table(spark, folder, "candidate")
+    common = linkage.common_words(cand.select("label"), intake.select("name"))
+    asked = linkage.parse_names(intake, "intake_id", "name", common)
+    facts = intake.select("intake_id", F.lit(None).cast("string").alias("occupation"), F.col("expected_role").alias("bucket"), "country", F.col("active_year").alias("year"))
+    return linkage.link(asked.join(facts, "intake_id"), _candidates(spark, folder, common), "intake_id", "entity_id")
+
+
+def p3_linked(spark: SparkSession, folder: str) -> DataFrame:
+    """Sheet rows and the candidate records of the person they name, with both spellings."""
+    sheets, cand = table(spark, folder, "talent_finder_template").dropDuplicates(["sheet_id"]), table(spark, folder, "candidate")
+    common = linkage.common_words(cand.select("label"), sheets.select("name"))
+    model = mojibake.fit(sheets.select("name"))
+    asked = linkage.parse_names(sheets, "sheet_id", "name", common, model)
+    lists, _ = reference_lists(spark, folder)
+    told = canonical.map_to_list(sheets, ["sheet_id"], lists).filter(F.col("ref_id") != canonical.NONE).select("sheet_id", "field", "ref_id")
+    role = told.filter("field = 'role'").join(F.broadcast(_roles_of(spark, folder).select(F.col("role_id").alias("ref_id"), "occupation", "bucket")), "ref_id").select("sheet_id", "occupation", "bucket")
+    country = told.filter("field = 'country'").select("sheet_id", F.col("ref_id").alias("country"))
+    year = F.when(F.trim("active_year").rlike(r"^[0-9]{4}(\.0)?$"), F.substring(F.trim("active_year"), 1, 4).cast("int")).alias("year")
+    facts = sheets.select("sheet_id", year).join(role, "sheet_id", "left").join(country, "sheet_id", "left")
+    candidates = _candidates(spark, folder, common)
+    linked = variants.link_variants(asked.join(facts, "sheet_id"), candidates, "sheet_id", "entity_id")
+    return linked.join(asked.select("sheet_id", "name"), "sheet_id").join(candidates.select("entity_id", "label"), "entity_id").select("sheet_id", "entity_id", "name", "label", "confidence")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p3_linked(spark, folder).filter(F.col("name") != F.col("label")).select("sheet_id", "entity_id")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p5_found, p5_unified, p2_found, p2_mapped, p4_found, p4_restored)}
+    return {f.__name__: f for f in (p3_found, p3_linked, p1_found, p1_linked, p5_found, p5_unified, p2_found, p2_mapped, p4_found, p4_restored)}
 
 
 def oracle_sql() -> dict[str, str]:
