@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import canonical, lexicon, linkage, lookalikes, mojibake, variants
+from . import canonical, leakage, lexicon, linkage, lookalikes, mojibake, spans, variants
 
 
 def reference_lists(spark: SparkSession, folder: str) -> tuple[dict[str, list], dict[str, list[str]]]:
@@ -109,8 +109,27 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return p3_linked(spark, folder).filter(F.col("name") != F.col("label")).select("sheet_id", "entity_id")
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    rows = leakage.leaked(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_item"), "item_id", "text")
+    return rows.select("item_id", "doc_id").distinct()
+
+
+def p8_near(spark: SparkSession, folder: str) -> DataFrame:
+    """Items that documents hold with up to one word replaced within the passage."""
+    return leakage.leaked(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_item"), "item_id", "text", 12, 1).distinct()
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return spans.shared_spans(table(spark, folder, "documents"), "doc_id", "text", 30)
+
+
+def p10_portion(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return spans.shared_portion(docs, "doc_id", "text", p10_found(spark, folder))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p3_linked, p1_found, p1_linked, p5_found, p5_unified, p2_found, p2_mapped, p4_found, p4_restored)}
+    return {f.__name__: f for f in (p10_found, p10_portion, p8_found, p8_near, p3_found, p3_linked, p1_found, p1_linked, p5_found, p5_unified, p2_found, p2_mapped, p4_found, p4_restored)}
 
 
 def oracle_sql() -> dict[str, str]:
