@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import canonical, leakage, lexicon, linkage, lookalikes, mojibake, spans, variants
+from . import canonical, leakage, lexicon, linkage, lookalikes, mixture, mojibake, spans, variants
 
 
 def reference_lists(spark: SparkSession, folder: str) -> tuple[dict[str, list], dict[str, list[str]]]:
@@ -128,8 +128,23 @@ def p10_portion(spark: SparkSession, folder: str) -> DataFrame:
     return spans.shared_portion(docs, "doc_id", "text", p10_found(spark, folder))
 
 
+def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Topic of a document: the first role of the person it is about."""
+    topics = table(spark, folder, "candidate").groupBy("entity_id").agg(F.min(F.try_element_at("roles", F.lit(1))).alias("topic"))
+    sized = mixture.count_tokens(table(spark, folder, "documents"), "text", ["doc_id", "lang", "source", "entity_id"])
+    return mixture.mix(sized.join(topics, "entity_id", "left"), "doc_id", table(spark, folder, "mix_target"))
+
+
+def p9_sample(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixed(spark, folder)[0]
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixed(spark, folder)[1]
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p10_found, p10_portion, p8_found, p8_near, p3_found, p3_linked, p1_found, p1_linked, p5_found, p5_unified, p2_found, p2_mapped, p4_found, p4_restored)}
+    return {f.__name__: f for f in (p9_sample, p9_shares, p10_found, p10_portion, p8_found, p8_near, p3_found, p3_linked, p1_found, p1_linked, p5_found, p5_unified, p2_found, p2_mapped, p4_found, p4_restored)}
 
 
 def oracle_sql() -> dict[str, str]:
