@@ -28,6 +28,11 @@ AGGREGATORS = (
 )
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def absolute(url: Column) -> Column:
     """The trimmed URL with a scheme."""
     u = F.trim(url)
@@ -103,7 +108,19 @@ def _unless_reserved(x: Column, name: str) -> Column:
 
 def classify_url(url: Column) -> Column:
     """struct(platform, handle, id_kind, lang, canonical_url, raw_url), null for what is no account."""
-    p, h = parts(url), bare_host(url)
+    split = F.struct(bare_host(url).alias("h"), parts(url).alias("p"), platform(url).alias("name"), param(url, "id").alias("id"), param(url, "title").alias("title"))
+    named = let(split, _account)
+
+    def ref(x: Column) -> Column:
+        r = F.struct(x["name"].alias("platform"), x["handle"].alias("handle"), x["kind"].alias("id_kind"), x["lang"].alias("lang"), build_url(x["name"], x["handle"], x["lang"], x["kind"]).alias("canonical_url"), url.alias("raw_url"))
+        return F.when(x["handle"].isNotNull() & (x["handle"] != ""), r)
+
+    return let(named, ref)
+
+
+def _account(s: Column) -> Column:
+    """struct(name, handle, kind, lang) of a URL taken apart."""
+    h, p, name = s["h"], s["p"], s["name"]
     at = lambda i: F.try_element_at(p, F.lit(i))
     first, second, size = at(1), at(2), F.size(p)
     no_at = F.regexp_replace(first, "^@", "")
@@ -119,13 +136,13 @@ def classify_url(url: Column) -> Column:
     imdb = F.lower(F.nullif(F.regexp_extract(F.array_join(p, "/"), r"(?i)\b(nm\d{5,10})\b", 1), F.lit("")))
     sub = F.substring_index(h, ".", 1)
     lang = F.when(sub.isin("www", "wikipedia"), F.lit("en")).otherwise(sub)
-    title = F.when((first == "wiki") & (size >= 2), F.array_join(F.slice(p, 2, F.greatest(size - 1, F.lit(1))), "/")).when(first == "w", param(url, "title"))
+    title = F.when((first == "wiki") & (size >= 2), F.array_join(F.slice(p, 2, F.greatest(size - 1, F.lit(1))), "/")).when(first == "w", s["title"])
     title = F.trim(F.regexp_replace(unquote(title), "_", " "))
     title = F.when((title != "") & ~(F.substring_index(title, " ", 1).contains(":") & F.substring_index(title, ":", 1).isin(NO_ARTICLE.split())), title)
     handles = {
         "instagram": (_unless_reserved(no_at, "instagram"), F.lit("handle")),
         "facebook": (
-            F.when(first == "profile.php", param(url, "id")).when(fb_numeric, F.try_element_at(p, F.lit(-1))).otherwise(_unless_reserved(first, "facebook")),
+            F.when(first == "profile.php", s["id"]).when(fb_numeric, F.try_element_at(p, F.lit(-1))).otherwise(_unless_reserved(first, "facebook")),
             F.when((first == "profile.php") | fb_numeric, F.lit("numeric_id")).otherwise(F.lit("handle")),
         ),
         "twitter": (
@@ -138,12 +155,9 @@ def classify_url(url: Column) -> Column:
         "imdb": (imdb, F.lit("nm_id")),
         "wikipedia": (title, F.lit("page_title")),
     }
-    name = platform(url)
     handle = F.coalesce(*[F.when(name == k, v) for k, (v, _) in handles.items()])
     kind = F.coalesce(*[F.when(name == k, v) for k, (_, v) in handles.items()])
-    lang = F.when(name == "wikipedia", lang)
-    ref = F.struct(name.alias("platform"), handle.alias("handle"), kind.alias("id_kind"), lang.alias("lang"), build_url(name, handle, lang, kind).alias("canonical_url"), url.alias("raw_url"))
-    return F.when(handle.isNotNull() & (handle != ""), ref)
+    return F.struct(name.alias("name"), handle.alias("handle"), kind.alias("kind"), F.when(name == "wikipedia", lang).alias("lang"))
 
 
 def build_url(platform: Column, handle: Column, lang: Column | None = None, id_kind: Column | None = None) -> Column:

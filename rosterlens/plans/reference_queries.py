@@ -170,7 +170,7 @@ def build_urls(spark: SparkSession, folder: str) -> DataFrame:
 s AS (SELECT doc_id, CASE WHEN u LIKE '//%' THEN 'https:' || u WHEN contains(u, '://') THEN u ELSE 'https://' || u END AS a FROM u),
 p AS (SELECT doc_id, regexp_replace(regexp_replace(lower(regexp_extract(a, '^[^:/?#]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^[.]+', ''), '^(?:m|mobile)[.]', '') AS host,
   regexp_replace(regexp_extract(a, '^[^:/?#]*://[^/?#]*([^?#]*)', 1), '/+$', '') AS path, regexp_extract(a, '^[^?#]*[?]([^#]*)', 1) AS q FROM s),
-k AS (SELECT *, array_to_string(list_filter(string_split(q, '&'), x -> regexp_matches(x, '=.') AND NOT regexp_matches(lower(x), '^(?:utm_|fb|ig|_r|_t|si|gclid|mc_)')), '&') AS kept FROM p)
+k AS (SELECT *, array_to_string(list_filter(string_split(q, '&'), lambda x: regexp_matches(x, '=.') AND NOT regexp_matches(lower(x), '^(?:utm_|fb|ig|_r|_t|si|gclid|mc_)')), '&') AS kept FROM p)
 SELECT doc_id, 'https://' || host || path || CASE WHEN kept = '' THEN '' ELSE '?' || kept END AS url FROM k""")
 def canonical_urls(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").filter("url IS NOT NULL").select("doc_id", urls.canonical_form(F.col("url")).alias("url")).distinct()
@@ -201,7 +201,7 @@ def extract_links(spark: SparkSession, folder: str) -> DataFrame:
     return pages.select("url_hash", F.explode(extract.extract_links(F.col("body"))).alias("link"))
 
 
-@query("""SELECT DISTINCT url_hash, len(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(body, '(?is)<script.*?</script>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\\s+'), x -> x <> '')) AS words FROM http_cache WHERE kind = 'text' AND body IS NOT NULL""")
+@query("""SELECT DISTINCT url_hash, len(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(body, '(?is)<script.*?</script>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\\s+'), lambda x: x <> '')) AS words FROM http_cache WHERE kind = 'text' AND body IS NOT NULL""")
 def page_words(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "http_cache").filter("kind = 'text' AND body IS NOT NULL").select("url_hash", extract.visible_words(F.col("body")).cast("bigint").alias("words")).distinct()
 
@@ -261,10 +261,10 @@ def fuzzy_ratio(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select("intake_id", "entity_id", F.round(names.sequence_ratio(F.lower("name"), F.lower("label")), 6).alias("ratio"))
 
 
-@query(r"""WITH t AS (SELECT DISTINCT entity_id, list_filter(regexp_split_to_array(trim(regexp_replace(lower(label), '[^a-z0-9 ]+', '', 'g')), ' +'), x -> x <> '') AS w FROM candidate WHERE label IS NOT NULL),
+@query(r"""WITH t AS (SELECT DISTINCT entity_id, list_filter(regexp_split_to_array(trim(regexp_replace(lower(label), '[^a-z0-9 ]+', '', 'g')), ' +'), lambda x: x <> '') AS w FROM candidate WHERE label IS NOT NULL),
 o AS (SELECT entity_id, CASE WHEN len(w) > 1 THEN [array_to_string(w, ''), array_to_string(w, '_'), array_to_string(w, '') || 'music', w[1] || w[-1]] ELSE [array_to_string(w, '')] END AS o FROM t),
-d AS (SELECT entity_id, list_filter(o, h -> length(h) BETWEEN 3 AND 40) AS o FROM o)
-SELECT entity_id, array_to_string(list_filter(o, (h, i) -> list_position(o, h) = i), ',') AS handles FROM d""")
+d AS (SELECT entity_id, list_filter(o, lambda h: length(h) BETWEEN 3 AND 40) AS o FROM o)
+SELECT entity_id, array_to_string(list_filter(o, lambda h, i: list_position(o, h) = i), ',') AS handles FROM d""")
 def handle_guesses(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "candidate").filter("label IS NOT NULL").select("entity_id", F.array_join(urls.handle_candidates(F.col("label")), ",").alias("handles")).distinct()
 
@@ -402,7 +402,8 @@ def upsert_latest(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("""SELECT url_hash, kind, status FROM (SELECT *, row_number() OVER (PARTITION BY url_hash ORDER BY fetched_at DESC) AS k FROM http_cache) WHERE k = 1 AND epoch_us(TIMESTAMP '2025-07-01 00:00:00') - epoch_us(fetched_at) < 7776000000000""")
 def cache_ttl(spark: SparkSession, folder: str) -> DataFrame:
-    return cached(table(spark, folder, "http_cache").select("url_hash", "kind", "status", "fetched_at"), F.lit("2025-07-01 00:00:00").cast("timestamp_ntz").cast("timestamp"), 90 * 86400).select("url_hash", "kind", "status")
+    c = table(spark, folder, "http_cache").select("url_hash", "kind", "status", F.col("fetched_at").cast("timestamp").alias("fetched_at"))
+    return cached(c, F.lit("2025-07-01 00:00:00").cast("timestamp_ntz").cast("timestamp"), 90 * 86400).select("url_hash", "kind", "status")
 
 
 @query("""SELECT event_id, user_id FROM (SELECT *, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS gap FROM events) WHERE gap < 3600000000""")
