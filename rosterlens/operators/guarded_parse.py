@@ -74,6 +74,8 @@ def _columns(raws: pa.Array, delimiter: str, width: int) -> list[pa.Array] | Non
     """The block's columns if every record parses to ``width`` fields, else None."""
     if len(delimiter) != 1 or delimiter in '"\r\n' or ord(delimiter) > 127:
         return None  # beyond the columnar reader: every record is scanned strictly
+    if pc.any(pc.match_substring(raws, "\r")).as_py():
+        return None  # the reader takes it for the end of a record
     quoted = pc.filter(raws, pc.match_substring(raws, '"'))
     if len(quoted) and not pc.all(pc.match_substring_regex(quoted, _strict(delimiter))).as_py():
         return None
