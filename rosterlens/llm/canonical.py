@@ -218,8 +218,10 @@ def _map_sharded(df: DataFrame, keys: list[str], lists: dict[str, list[Entry]],
 
         def winners(v: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
             tree = BKTree([(f, i, int(r)) for f, i, r in zip(e["form"], e["id"], e["rank"], strict=True)])
-            best = [tree.best(x) for x in v["value"]]
-            return pd.DataFrame({"value": v["value"], "d": [b[0] if b else None for b in best], "rank": [b[1] if b else None for b in best], "form": [b[2] if b else None for b in best], "id": [b[3] if b else None for b in best]}).astype({"d": "Int32", "rank": "Int32"})
+            values_ = list(v["value"])
+            best = [tree.best(x) or (None, None, None, None) for x in values_]
+            out = {c: pd.Series([b[i] for b in best], dtype=t) for i, (c, t) in enumerate((("d", "Int32"), ("rank", "Int32"), ("form", object), ("id", object)))}
+            return pd.DataFrame({"value": pd.Series(values_, dtype=object), **out})
 
         won = values.groupBy("shard", "salt").cogroup(held.groupBy("shard", "salt")).applyInPandas(winners, "value string, d int, rank int, form string, id string")
         won = won.filter("d IS NOT NULL").groupBy("value").agg(F.min(F.struct("d", "rank", (-F.length("form")).alias("len"), "form", "id")).alias("w"))
