@@ -35,7 +35,9 @@ CYRILLIC = dict(zip("абвгдеёжзийклмнопрстуфхцчшщъы
 DEVANAGARI = dict(zip("कखगघचछजझटठडढतथदधनणञङपफबभमयरलवशषसह", "k h g g ch ch j zh t t d d t t d d n n n n p f b b m i r l v sh sh s h".split(), strict=True)) | dict(zip("अआइईउऊएऐओऔ", "a a i i u u e ai o ou".split(), strict=True)) | dict(zip("ािीुूेैोौ", "a i i u u e ai o ou".split(), strict=True))
 _LETTERS = str.maketrans({"ł": "l", "ø": "o", "đ": "d", "ß": "ss", "æ": "ae", "œ": "oe", "ð": "d", "þ": "th", "ı": "i", "ħ": "h", "ŋ": "n"})
 _SOUNDS = [("dzh", "j"), ("sch", "sh"), ("tch", "ch"), ("ph", "f"), ("th", "t"), ("kh", "h"), ("gh", "g"), ("ck", "k")]
-_WORD = re.compile(r"[^\W\d_]+(?:['’\-‑][^\W\d_]+)*", re.UNICODE)
+#: Letters, and marks and joiners that belong to them; hyphens and apostrophes within a word.
+_LETTER = "(?:[^\\W\\d_]|[\u0300-\u036f\u0900-\u0963\u200c\u200d])"
+_WORD = re.compile(f"{_LETTER}+(?:['’\\-‑]{_LETTER}+)*")
 _INDIC = re.compile("[\u0900-\u097f]")
 _QUOTED = re.compile(r"[\"“”«»][^\"“”«»]*[\"“”«»]|\([^)]*\)|（[^）]*）")
 
@@ -105,7 +107,8 @@ def tokens(name: str) -> tuple[list[str], bool]:
     words = lambda s: [w for w in _WORD.findall(unicodedata.normalize("NFC", s)) if w.lower().strip(".") not in TITLES]
     a, b = words(front), words(back)
     flipped = bool(comma and a and b)
-    return [f for w in (b + a if flipped else a + b) if (f := fold(w)) and w.lower() not in PARTICLES], flipped
+    folded = [(fold(w)[:1] if len(w) == 1 else fold(w)) for w in (b + a if flipped else a + b) if w.lower() not in PARTICLES]
+    return [f for f in folded if f], flipped
 
 
 class Parser:
@@ -114,6 +117,9 @@ class Parser:
     def __init__(self, common: dict[str, int]):
         self.common = common
         self._near = lru_cache(200_000)(self._nearest)
+        self._by_length: dict[int, list[str]] = {}
+        for c in common:
+            self._by_length.setdefault(len(c), []).append(c)
 
     def _nearest(self, token: str) -> str | None:
         """The common given name that the token is, is short for or nearly is."""
@@ -122,15 +128,16 @@ class Parser:
         if short := sorted(_SHORT.get(token, set()) & self.common.keys()):
             return short[0]
         if len(token) >= 5:
-            found = [(d, c) for c in self.common if len(c) >= 4 and (d := within(token, c, 2 if len(c) >= 7 else 1)) is not None]
+            near = [(n, 2 if n >= 7 else 1) for n in range(max(4, len(token) - 2), len(token) + 3)]
+            found = [(d, c) for n, k in near if abs(n - len(token)) <= k for c in self._by_length.get(n, ()) if (d := within(token, c, k)) is not None]
             return min(found)[1] if found else None
         return None
 
     def __call__(self, name: str | None) -> tuple[str, str, str] | None:
         """(given name or initial, surname, middle initial), folded; None where there is no surname.
 
-        A given name comes as the common one it is meant for. Of a name in Devanagari only the consonants are known: its
-        parts are skeletons, marked by ``~``.
+        A given name comes as the common one it is meant for. Of a name in Devanagari only the consonants and the
+        beginning are sure: its parts are marked by ``~``, and the surname is its skeleton.
         """
         if not name:
             return None
@@ -149,10 +156,15 @@ class Parser:
         given = next((w for w in rest if len(w) > 1), rest[0] if rest else "")
         middle = next((w for w in rest if len(w) == 1 and w is not given), "") if len(rest) > 1 else ""
         if _INDIC.search(name):
-            return skeleton(given) and "~" + skeleton(given), "~" + skeleton(surname), middle
+            return given and "~" + given, "~" + skeleton(surname), middle
         return self._near(given) or given, surname, middle
 
 
+def initials_agree(a: str, b: str) -> bool:
+    """Whether two names may begin with one letter: sounds written with two letters begin with the first of them."""
+    return a[0] == b[0] or {a[0], b[0]} in ({"k", "c"}, {"p", "f"}, {"k", "h"}, {"j", "z"}, {"i", "j"})
+
+
 def given_names_agree(a: str, b: str) -> int | None:
     """How well two given names agree: 3 the same, 2 spelt nearly so or short for it, 1 an initial or missing, None not."""
     if a == b:
@@ -160,10 +172,13 @@ def given_names_agree(a: str, b: str) -> int | None:
     if not a or not b:
         return 1
     if a[0] == "~" or b[0] == "~":
-        a, b = (x[1:] if x[0] == "~" else skeleton(x) if len(x) > 1 else x for x in (a, b))
-        return 2 if a == b or within(a, b, 1) is not None and min(len(a), len(b)) > 2 else 1 if 1 in (len(a), len(b)) and a[:1] == b[:1] else None
+        a, b = (x.removeprefix("~") for x in (a, b))
+        if 1 in (len(a), len(b)):
+            return 1 if initials_agree(a, b) else None
+        a, b = skeleton(a), skeleton(b)
+        return 2 if a == b or within(a, b, 1) is not None and min(len(a), len(b)) > 2 else None
     if len(a) == 1 or len(b) == 1:
-        return 1 if a[0] == b[0] or {a[0], b[0]} in ({"k", "h"}, {"j", "z"}, {"i", "j"}) else None
+        return 1 if initials_agree(a, b) else None
     sa, sb = _SHORT.get(a, set()), _SHORT.get(b, set())
     if b in sa or a in sb or sa & sb:
         return 2

@@ -100,9 +100,9 @@ def p3_linked(spark: SparkSession, folder: str) -> DataFrame:
     country = told.filter("field = 'country'").select("sheet_id", F.col("ref_id").alias("country"))
     year = F.when(F.trim("active_year").rlike(r"^[0-9]{4}(\.0)?$"), F.substring(F.trim("active_year"), 1, 4).cast("int")).alias("year")
     facts = sheets.select("sheet_id", year).join(role, "sheet_id", "left").join(country, "sheet_id", "left")
-    candidates = _candidates(spark, folder, common)
-    linked = variants.link_variants(asked.join(facts, "sheet_id"), candidates, "sheet_id", "entity_id")
-    return linked.join(asked.select("sheet_id", "name"), "sheet_id").join(candidates.select("entity_id", "label"), "entity_id").select("sheet_id", "entity_id", "name", "label", "confidence")
+    linked = variants.link_variants(asked.join(facts, "sheet_id"), _candidates(spark, folder, common), "sheet_id", "entity_id")
+    labels = cand.dropDuplicates(["entity_id"]).select("entity_id", "label")
+    return linked.join(sheets.select("sheet_id", "name"), "sheet_id").join(labels, "entity_id").select("sheet_id", "entity_id", "name", "label", "confidence")
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
