@@ -147,5 +147,22 @@ def queries() -> dict:
     return {f.__name__: f for f in (p9_sample, p9_shares, p10_found, p10_portion, p8_found, p8_near, p3_found, p3_linked, p1_found, p1_linked, p5_found, p5_unified, p2_found, p2_mapped, p4_found, p4_restored)}
 
 
+_LEAKS = r"""
+WITH i AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_item WHERE text IS NOT NULL),
+d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+ig AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') AS gram FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i)),
+dg AS (SELECT doc_id, array_to_string(w[k:k + 11], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d))
+SELECT DISTINCT item_id, doc_id FROM ig JOIN dg USING (gram)"""
+
+_SPANS = r"""
+WITH d AS (SELECT DISTINCT doc_id, list_filter(regexp_split_to_array(text, '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+g AS (SELECT doc_id, k, array_to_string(w[k:k + 29], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 28)) AS k FROM d)),
+s AS (SELECT gram FROM g GROUP BY gram HAVING count(DISTINCT doc_id) > 1),
+p AS (SELECT doc_id, k - 1 AS place FROM g JOIN s USING (gram)),
+o AS (SELECT *, CASE WHEN place - lag(place) OVER (PARTITION BY doc_id ORDER BY place) <= 30 THEN 0 ELSE 1 END AS fresh FROM p),
+x AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY place) AS stretch FROM o)
+SELECT doc_id, CAST(min(place) AS INTEGER) AS first_word, CAST(max(place) + 29 AS INTEGER) AS last_word FROM x GROUP BY doc_id, stretch"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p8_found": _LEAKS, "p10_found": _SPANS}
