@@ -40,15 +40,31 @@ def absolute(url: Column) -> Column:
     return F.when(u.contains("://"), u).otherwise(F.concat(F.lit("https://"), u))
 
 
+def _host(a: Column) -> Column:
+    return F.regexp_replace(F.lower(F.regexp_extract(a, r"^[^:/?#]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), r"^\.+", "")
+
+
+def _bare_host(a: Column) -> Column:
+    return F.regexp_replace(_host(a), r"^(?:m|mobile)\.", "")
+
+
+def _parts(a: Column) -> Column:
+    return F.filter(F.split(F.regexp_extract(a, r"^[^:/?#]*://[^/?#]*([^?#]*)", 1), "/"), lambda x: x != "")
+
+
+def _kept_params(a: Column) -> Column:
+    banned = "|".join(TRACKING.split())
+    return F.filter(F.split(F.regexp_extract(a, r"^[^?#]*\?([^#]*)", 1), "&"), lambda p: p.rlike("=.") & ~p.rlike(f"(?i)^(?:{banned})"))
+
+
 def host(url: Column) -> Column:
     """Lower-cased host without leading dots; never null for a URL that is not null."""
-    h = F.lower(F.regexp_extract(absolute(url), r"^[^:/?#]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    return F.regexp_replace(h, r"^\.+", "")
+    return _host(absolute(url))
 
 
 def bare_host(url: Column) -> Column:
     """The host without one mobile prefix."""
-    return F.regexp_replace(host(url), r"^(?:m|mobile)\.", "")
+    return _bare_host(absolute(url))
 
 
 def path(url: Column) -> Column:
@@ -56,17 +72,12 @@ def path(url: Column) -> Column:
 
 
 def parts(url: Column) -> Column:
-    return F.filter(F.split(path(url), "/"), lambda x: x != "")
-
-
-def query(url: Column) -> Column:
-    return F.regexp_extract(absolute(url), r"^[^?#]*\?([^#]*)", 1)
+    return _parts(absolute(url))
 
 
 def kept_params(url: Column) -> Column:
     """Parameters that are not blank and not for tracking, in their order. Prefixes match longer names too."""
-    banned = "|".join(TRACKING.split())
-    return F.filter(F.split(query(url), "&"), lambda p: p.rlike("=.") & ~p.rlike(f"(?i)^(?:{banned})"))
+    return _kept_params(absolute(url))
 
 
 def canonical_form(url: Column) -> Column:
@@ -82,10 +93,10 @@ def unquote(s: Column) -> Column:
     return F.try_url_decode(F.regexp_replace(s, r"\+", "%2B"))
 
 
-def param(url: Column, name: str) -> Column:
-    """The decoded value of a kept parameter, the first if there are several."""
-    got = F.try_element_at(F.filter(kept_params(url), lambda p: p.startswith(f"{name}=")), F.lit(1))
-    return unquote(F.regexp_replace(F.regexp_replace(got, f"^{name}=", ""), r"\\+", " "))
+def param(kept: Column, name: str) -> Column:
+    """The decoded value of a parameter out of kept_params, the first if there are several."""
+    got = F.try_element_at(F.filter(kept, lambda p: p.startswith(f"{name}=")), F.lit(1))
+    return unquote(F.regexp_replace(F.regexp_replace(got, f"^{name}=", ""), r"\+", " "))
 
 
 def on(h: Column, domains: str) -> Column:
@@ -95,7 +106,10 @@ def on(h: Column, domains: str) -> Column:
 
 def platform(url: Column) -> Column:
     """The platform of the URL's host, null for other hosts."""
-    h = bare_host(url)
+    return let(bare_host(url), _platform)
+
+
+def _platform(h: Column) -> Column:
     out = F.lit(None).cast("string")
     for name, domains in reversed(HOSTS.items()):
         out = F.when(on(h, domains), F.lit(name)).otherwise(out)
@@ -108,8 +122,9 @@ def _unless_reserved(x: Column, name: str) -> Column:
 
 def classify_url(url: Column) -> Column:
     """struct(platform, handle, id_kind, lang, canonical_url, raw_url), null for what is no account."""
-    split = F.struct(bare_host(url).alias("h"), parts(url).alias("p"), platform(url).alias("name"), param(url, "id").alias("id"), param(url, "title").alias("title"))
-    named = let(split, _account)
+    split = let(absolute(url), lambda a: F.struct(_bare_host(a).alias("h"), _parts(a).alias("p"), _kept_params(a).alias("kept")))
+    placed = let(split, lambda s: F.struct(s["h"], s["p"], s["kept"], _platform(s["h"]).alias("name")))
+    named = let(placed, _account)
 
     def ref(x: Column) -> Column:
         r = F.struct(x["name"].alias("platform"), x["handle"].alias("handle"), x["kind"].alias("id_kind"), x["lang"].alias("lang"), build_url(x["name"], x["handle"], x["lang"], x["kind"]).alias("canonical_url"), url.alias("raw_url"))
@@ -136,13 +151,13 @@ def _account(s: Column) -> Column:
     imdb = F.lower(F.nullif(F.regexp_extract(F.array_join(p, "/"), r"(?i)\b(nm\d{5,10})\b", 1), F.lit("")))
     sub = F.substring_index(h, ".", 1)
     lang = F.when(sub.isin("www", "wikipedia"), F.lit("en")).otherwise(sub)
-    title = F.when((first == "wiki") & (size >= 2), F.array_join(F.slice(p, 2, F.greatest(size - 1, F.lit(1))), "/")).when(first == "w", s["title"])
+    title = F.when((first == "wiki") & (size >= 2), F.array_join(F.slice(p, 2, F.greatest(size - 1, F.lit(1))), "/")).when(first == "w", param(s["kept"], "title"))
     title = F.trim(F.regexp_replace(unquote(title), "_", " "))
     title = F.when((title != "") & ~(F.substring_index(title, " ", 1).contains(":") & F.substring_index(title, ":", 1).isin(NO_ARTICLE.split())), title)
     handles = {
         "instagram": (_unless_reserved(no_at, "instagram"), F.lit("handle")),
         "facebook": (
-            F.when(first == "profile.php", s["id"]).when(fb_numeric, F.try_element_at(p, F.lit(-1))).otherwise(_unless_reserved(first, "facebook")),
+            F.when(first == "profile.php", param(s["kept"], "id")).when(fb_numeric, F.try_element_at(p, F.lit(-1))).otherwise(_unless_reserved(first, "facebook")),
             F.when((first == "profile.php") | fb_numeric, F.lit("numeric_id")).otherwise(F.lit("handle")),
         ),
         "twitter": (
