@@ -37,19 +37,25 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _parts(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(parts between white space, which of them are words, bounds of the records' words)."""
+    parts = pc.utf8_split_whitespace(texts.fill_null(""))
+    flat = parts.flatten()
+    # leading and trailing white space leaves empty words
+    full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False) if len(flat) else np.zeros(0, bool)
+    offsets = parts.offsets.to_numpy() - (parts.offsets[0].as_py() if len(parts) else 0)
+    return flat, full, np.concatenate([[0], np.cumsum(full)])[offsets]
+
+
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hash of every word, bounds of the records' words); words stand between white space."""
     import xxhash
 
-    parts = pc.utf8_split_whitespace(texts.fill_null(""))
-    flat = parts.flatten()
+    flat, full, bounds = _parts(texts)
     coded = flat.dictionary_encode()
     table = np.array([xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64)
     hashes = table[coded.indices.to_numpy()] if len(flat) else np.zeros(0, np.uint64)
-    # leading and trailing white space leaves empty words
-    full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False) if len(flat) else np.zeros(0, bool)
-    offsets = parts.offsets.to_numpy() - (parts.offsets[0].as_py() if len(parts) else 0)
-    return hashes[full], np.concatenate([[0], np.cumsum(full)])[offsets]
+    return hashes[full], bounds
 
 
 def _spans(h: np.ndarray, n: int, step) -> np.ndarray:
@@ -225,9 +231,18 @@ def shared_spans(docs: DataFrame, key: str, text: str, length: int = 30, cells:
 
 
 def shared_portion(docs: DataFrame, key: str, text: str, spans: DataFrame) -> DataFrame:
-    """key, ``words``, ``shared_words``, ``share`` of every record; a record without words has a null share."""
-    size = F.when(F.trim(F.coalesce(text, F.lit(""))) == "", 0).otherwise(F.size(F.split(F.trim(F.regexp_replace(text, r"(?U)\\s+", " ")), " ")))
-    every = docs.select(key, size.alias("words")).groupBy(key).agg(F.max("words").cast("bigint").alias("words"))
+    """key, ``words``, ``shared_words``, ``share`` of every record, words as shared_spans tells them; a record without words has a null share."""
+    src = docs.select(key, text)
+    schema = T.StructType([src.schema[key], T.StructField("words", T.LongType())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(at, CHUNK)
+                _, _, bounds = _parts(part.column(1))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(bounds).astype(np.int64))], names=schema.names)
+
+    every = src.mapInArrow(count, schema).groupBy(key).agg(F.max("words").alias("words"))
     held = spans.groupBy(key).agg(F.sum(F.col("last_word") - F.col("first_word") + 1).alias("n"))
     out = every.join(held, key, "left").withColumn("shared_words", F.coalesce("n", F.lit(0)).cast("bigint"))
     return out.select(key, "words", "shared_words", F.when(F.col("words") > 0, F.col("shared_words") / F.col("words")).alias("share"))

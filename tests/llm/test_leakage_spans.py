@@ -102,6 +102,15 @@ def test_portion_and_empty_table(spark):
     assert spans.shared_spans(df.limit(0), "id", "text", 30, 1 << 16).count() == 0
 
 
+def test_portion_counts_words_between_any_white_space(spark):
+    p = prose(40)
+    texts = ["\n\t " + "  ".join(p.split()) + "\r\n", p.replace(" ", "\n", 9).replace(" ", "\t", 9).replace(" ", "\u00a0", 5).replace(" ", "\u3000", 5) + " \u2003\n own words", " \n\t\u00a0", "one"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    s = spans.shared_spans(df, "id", "text", 30, 1 << 16)
+    got = {r.id: (r.words, r.shared_words, r.share) for r in spans.shared_portion(df, "id", "text", s).collect()}
+    assert got == {0: (40, 40, 1.0), 1: (42, 40, 40 / 42), 2: (0, 0, None), 3: (1, 0, 0.0)}
+
+
 def test_packing():
     for x in ([], [0], [3, 4, 900, 70_000, 5_000_000_000]):
         assert spans._unpack(spans._pack(np.array(x, np.int64))).tolist() == x
