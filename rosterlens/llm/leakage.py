@@ -122,25 +122,26 @@ class Index:
         """(longest run of equal words, words aligned within the edits) of an item and a document along a band of diagonals."""
         own, at = self.words[item], self.word_starts[item]
         best_run = best = 0
-        run: dict[int, tuple[int, int, int]] = {}
-        none = (0, 0, 0)
+        # of a cell: equal words of the longest stretch that ends there with at most 0, 1, .. edits of them replaced
+        run: dict[int, tuple[int, ...]] = {}
+        none = (0,) * (self.edits + 1)
         lo, hi, slack = band[0], band[1], self.edits
         first = bisect_left(at, -hi)
         for i in range(first, len(own)):
             j, last, mine = bisect_left(starts, at[i] + lo), at[i] + hi, own[i]
             if j == len(starts):
                 break
-            row: dict[int, tuple[int, int, int]] = {}
+            row: dict[int, tuple[int, ...]] = {}
             while j < len(starts) and starts[j] <= last:
-                length, aligned, spent = run.get(j - 1, none)
+                was = run.get(j - 1, none)
                 if mine == doc[j]:
-                    row[j] = (length + 1, aligned + 1, spent)
-                    if length >= best_run:
-                        best_run = length + 1
-                    if aligned >= best:
-                        best = aligned + 1
-                elif slack and aligned and spent < slack:
-                    row[j] = (0, aligned, spent + 1)
+                    row[j] = now = tuple([n + 1 for n in was])
+                    if now[0] > best_run:
+                        best_run = now[0]
+                    if now[slack] > best:
+                        best = now[slack]
+                elif slack and was[slack - 1]:
+                    row[j] = (0, *was[:slack])
                 j += 1
             run = row
         return best_run, best

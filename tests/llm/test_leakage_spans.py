@@ -48,6 +48,51 @@ def test_leaks_with_a_replaced_word_and_empty_tables(spark):
     assert leakage.leaked(a, "doc_id", "text", b.limit(0), "item_id", "text").count() == 0
 
 
+def brute_near(item, doc, edits):
+    """(longest run of equal words, most equal words of a stretch with so many replaced) over all shifts of a document against an item."""
+    a, b = leakage.words(item), leakage.words(doc)
+    run = best = 0
+    for shift in range(-len(a) + 1, len(b)):
+        same = [a[i] == b[i + shift] for i in range(max(0, -shift), min(len(a), len(b) - shift))]
+        for i in range(len(same)):
+            equal = replaced = 0
+            for x in same[i:]:
+                equal, replaced = equal + x, replaced + (not x)
+                if replaced > edits:
+                    break
+                best = max(best, equal)
+                run = max(run, equal if not replaced else 0)
+    return run, best
+
+
+def test_near_passage_after_a_chance_match(spark):
+    item = [f"word{i}" for i in range(21)]
+    doc = [*item[:1], "xxxxx", *item[2:10], "yyyyyy", *item[11:]]
+    a = spark.createDataFrame([(1, " ".join(doc))], "doc_id long, text string")
+    b = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = [(r.run, r.aligned) for r in leakage.leaked(a, "doc_id", "text", b, "item_id", "text", 12, 1).collect()]
+    assert got == [(10, 18)]
+
+
+@pytest.mark.parametrize("edits", [0, 1, 2])
+def test_near_against_brute_force(spark, edits):
+    own = random.Random(11)
+    # words of one length, so that a replaced word does not move the others to another diagonal
+    vocab = [f"w{i:04}" for i in range(300)]
+    items = [(i, " ".join(own.choices(vocab, k=30))) for i in range(20)]
+    docs = []
+    for d in range(300):
+        w = items[d % 20][1].split()
+        for k in own.sample(range(30), 1 + d % 6):
+            w[k] = own.choice(vocab)
+        docs.append((d, " ".join(own.choices(vocab, k=10) + w + own.choices(vocab, k=10))))
+    a = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.item_id, r.doc_id): (r.run, r.aligned) for r in leakage.leaked(a, "doc_id", "text", b, "item_id", "text", 12, edits).collect()}
+    want = {(i, d): v for i, x in items for d, y in docs if (v := brute_near(x, y, edits))[1] >= 12}
+    assert got == want and len(want) > 100
+
+
 def brute_spans(docs, n):
     words = {}
     for k, t in docs:
