@@ -288,12 +288,13 @@ r AS (SELECT intake_id, entity_id, label_score, round(base + (label_score - 1) *
 """
 
 
-def _scored(spark: SparkSession, folder: str) -> DataFrame:
+def _scored(spark: SparkSession, folder: str, marks: bool = False) -> DataFrame:
+    """Scored pairs; without marks stripped they are those SQL can tell."""
     i = table(spark, folder, "intake").select("intake_id", "name", F.col("expected_role").alias("role"), "country", F.col("active_year").alias("year")).filter("name IS NOT NULL")
     c = table(spark, folder, "candidate").select("entity_id", "label", "roles", "citizenship", "birth_year", "death_year", "external_ids").filter("label IS NOT NULL")
     c = c.dropDuplicates(["entity_id"])
-    pairs = resolve.recall(i, "intake_id", "name", c, "entity_id", "label", marks=False)
-    return resolve.scored(pairs, i, c, "intake_id", "entity_id", "name", "label", marks=False)
+    pairs = resolve.recall(i, "intake_id", "name", c, "entity_id", "label", marks=marks)
+    return resolve.scored(pairs, i, c, "intake_id", "entity_id", "name", "label", marks=marks)
 
 
 @query(_PAIRS_SQL + "SELECT intake_id, entity_id, label_score, role_score FROM r")
@@ -319,6 +320,28 @@ def unmatched_intakes(spark: SparkSession, folder: str) -> DataFrame:
     return i.join(_scored(spark, folder), "intake_id", "left_anti")
 
 
+@query()
+def stripped_role_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """role_scores with marks stripped from names first, as are the next three (NFKD has no SQL equivalent; a test by brute force holds the values)."""
+    return _scored(spark, folder, marks=True).select("intake_id", "entity_id", "label_score", "role_score")
+
+
+@query()
+def stripped_rank_margin(spark: SparkSession, folder: str) -> DataFrame:
+    return ranking.rank(_scored(spark, folder, marks=True), "intake_id", "role_score", "entity_id")
+
+
+@query()
+def stripped_cards(spark: SparkSession, folder: str) -> DataFrame:
+    return ranking.top_k(_scored(spark, folder, marks=True), ["intake_id"], [F.desc("role_score"), F.col("entity_id")], 6, "card").select("intake_id", "entity_id", "card")
+
+
+@query()
+def stripped_unmatched(spark: SparkSession, folder: str) -> DataFrame:
+    i = table(spark, folder, "intake").filter("name IS NOT NULL").select("intake_id").distinct()
+    return i.join(_scored(spark, folder, marks=True), "intake_id", "left_anti")
+
+
 @query("""WITH c AS (SELECT DISTINCT ON (entity_id) entity_id, label, roles FROM candidate WHERE label IS NOT NULL),
 n AS (SELECT label, count(*) AS n_candidates FROM c GROUP BY 1 HAVING count(*) > 1)
 SELECT label, n_candidates, coalesce((SELECT string_agg(DISTINCT r, ',' ORDER BY r) FROM (SELECT label AS l, unnest(roles) AS r FROM c) x WHERE x.l = n.label), '') AS roles FROM n""")

@@ -1,0 +1,50 @@
+"""Queries that strip marks from names, against brute force on a small fixture."""
+
+import re
+import unicodedata
+
+import __spark_entry__ as entry
+
+INTAKE = [(1, "José Núñez", "music"), (2, "Jose Nunez", "film"), (3, "BJÖRK", None), (4, "Zoë K. Ödegård", "music"), (5, "No Body", None), (6, None, None), (7, "Renée", "film"), (8, "A. R. Rahman", "music"), (9, "...", None)]
+CANDIDATE = [("a", "Jose Nunez", ["music"]), ("b", "José Núñez", ["film"]), ("c", "Bjork", ["music"]), ("d", "Zoe Kaye Odegard", None), ("e", "Renee", ["music"]), ("f", "Allah Rakha Rahman", ["music"]), ("g", None, None), ("h", "J. Nuñez", ["film"])]
+
+
+def normal(s):
+    s = "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)).lower()
+    return " ".join(re.sub(r"[^\w\s]+", " ", re.sub(r"([a-z])\.", r"\1 ", s)).split())
+
+
+def initials(n):
+    w = n.split()
+    return " ".join([x[0] for x in w[:-1]] + w[-1:])
+
+
+def brute():
+    out = {}
+    for i, name, role in INTAKE:
+        for e, label, roles in CANDIDATE:
+            if name is None or label is None:
+                continue
+            a, b = normal(name), normal(label)
+            if not a or not b or not {a, initials(a)} & {b, initials(b)}:
+                continue
+            score = 1.0 if name == label else 0.97 if a == b else 0.9 if initials(a) == initials(b) else None
+            base = 0 if role is None or not roles else 0.6 if role in roles else -0.25
+            if score is not None:
+                out[i, e] = (score, round(base + (score - 1) * 0.5 + 1e-9, 3))
+    return out
+
+
+def test_marks_are_stripped_before_names_meet(spark, tmp_path):
+    i = spark.createDataFrame([(*r, None, None) for r in INTAKE], "intake_id long, name string, expected_role string, country string, active_year int")
+    c = spark.createDataFrame([(*r, [], None, None, {}) for r in CANDIDATE], "entity_id string, label string, roles array<string>, citizenship array<string>, birth_year int, death_year int, external_ids map<string,string>")
+    i.write.parquet(str(tmp_path / "intake.parquet"))
+    c.write.parquet(str(tmp_path / "candidate.parquet"))
+    run = lambda name: entry.queries()[name](spark, str(tmp_path)).collect()
+    want = brute()
+    assert {(1, "a"), (2, "b"), (3, "c"), (4, "d"), (7, "e")} <= set(want)
+    assert {(r.intake_id, r.entity_id): (r.label_score, r.role_score) for r in run("stripped_role_scores")} == want
+    order = {k: sorted((e for j, e in want if j == k), key=lambda e: (-want[k, e][1], e)) for k, _ in want}
+    assert {(r.intake_id, r.entity_id, r.card) for r in run("stripped_cards")} == {(k, e, n + 1) for k, o in order.items() for n, e in enumerate(o[:6])}
+    assert {(r.intake_id, r.n, r.top) for r in run("stripped_rank_margin")} == {(k, len(o), o[0]) for k, o in order.items()}
+    assert {r.intake_id for r in run("stripped_unmatched")} == {k for k, name, _ in INTAKE if name is not None and k not in order} == {5, 9}
