@@ -248,15 +248,22 @@ def initial(given: Column) -> Column:
     return F.translate(F.substring(F.regexp_replace(given, "^~", ""), 1, 1), "eioucf", "aaaakp")
 
 
+def initials(given: Column) -> Column:
+    """The classes of first letters of all names that a given name may stand for: itself and those it is short for."""
+    full = F.create_map(*[x for short, names in sorted(person_names._SHORT.items()) for x in (F.lit(short), F.array(*map(F.lit, sorted(names))))])
+    return F.array_distinct(F.transform(F.concat(F.array(given), F.coalesce(F.try_element_at(full, given), F.array().cast("array<string>"))), initial))
+
+
 def block_keys(given: Column, surname: Column) -> Column:
-    """Keys of the blocking passes: the surname, its consonants, its beginning and its end, each with the given initial."""
-    first = initial(given)
+    """Keys of the blocking passes: the surname, its consonants, its beginning and its end, each with the given initials."""
     bare = F.regexp_replace(surname, "^~", "")
     bones = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(bare, "[aeiou]", ""), "z", "j"), "jh", "j"), r"(.)\1+", "$1")
-    keys = [F.concat_ws("|", F.lit("whole"), surname, first), F.when(F.length(bones) >= 3, F.concat_ws("|", F.lit("bones"), bones, first))]
-    keys += [F.when(F.length(surname) >= 6, F.concat_ws("|", F.lit(n), part, first)) for n, part in (("begin", F.substring(surname, 1, 5)), ("end", F.substring(surname, -5, 5)))]
-    keys += [F.concat_ws("|", F.lit("only"), surname)]  # for requests and candidates whose given name is missing
-    return F.array_compact(F.array(*keys))
+    passes = [(F.lit("whole"), surname), (F.lit("bones"), F.when(F.length(bones) >= 3, bones))]
+    passes += [(F.lit(n), F.when(F.length(surname) >= 6, part)) for n, part in (("begin", F.substring(surname, 1, 5)), ("end", F.substring(surname, -5, 5)))]
+    parts = F.array_compact(F.array(*[F.when(part.isNotNull(), F.concat_ws("|", n, part)) for n, part in passes]))
+    keys = F.flatten(F.transform(initials(given), lambda first: F.transform(parts, lambda part: F.concat_ws("|", part, first))))
+    # for requests whose given name is missing, and for candidates whose given name is
+    return F.concat(keys, F.array(F.concat_ws("|", F.lit("only"), surname), F.concat_ws("|", F.lit("none"), surname)))
 
 
 def link(requests: DataFrame, candidates: DataFrame, request: str, record: str) -> DataFrame:
@@ -270,6 +277,7 @@ def link(requests: DataFrame, candidates: DataFrame, request: str, record: str)
     left = a.withColumn("key", F.explode(block_keys(F.col("pa.given"), F.col("pa.surname"))))
     left = left.filter(~F.col("key").startswith("only|") | (F.col("pa.given") == ""))
     right = b.withColumn("key", F.explode(block_keys(F.col("pb.given"), F.col("pb.surname"))))
+    right = right.filter(~F.col("key").startswith("none|") | (F.col("pb.given") == ""))
     pairs = left.join(right, "key").groupBy("__a", "__b").agg(F.first("pa").alias("pa"), F.first("pb").alias("pb"))
     return matches(pairs, requests, candidates, a, b, request, record)
 
