@@ -1,127 +1,95 @@
-"""Other names under which entries of the reference lists are typed, and well-known values that are no entry.
+"""Other names under which entries of the reference lists are typed.
 
-Fixed values: public names, codes and everyday synonyms, in plain text, one entry a line, ``entry: name; name``.
+Names of countries in other languages and their codes come from the Unicode locale data and ISO 3166 tables of the Java
+runtime. What these do not hold, and everyday synonyms of occupations, are given here as fixed values: dictionary words in plain
+text, one entry a line, ``entry: name; name``.
 """
 
 from __future__ import annotations
 
+from pyspark.sql import SparkSession
+
+from .canonical import normal_form
+
+#: Languages in which the name of every country is known, besides those spoken there.
+EVERYWHERE = ["en", "fr", "es", "de"]
+
+# Synonyms and translations of occupations.
 ROLES = """
-actor: actress; acteur; actrice; schauspieler; schauspielerin; attore
+actor: actress; acteur; actrice; schauspieler; schauspielerin; attore; thespian
 film actor: movie actor; film actress; movie actress; screen actor
 voice actor: voice artist; voice over artist; vo artist; voice actress
 stage actor: theatre actor; theater actor; theatre actress; theater actress; stage actress
-film director: movie director; filmmaker; film maker; dir film; director
+film director: movie director; filmmaker; film maker
 film producer: movie producer
-screenwriter: script writer; scriptwriter; screen writer
-singer: vocalist; lead singer; female singer; male singer; singing artist; chanteur
-composer: film composer; compositor; music composer
-songwriter: song writer; lyricist songwriter; lyricist
+screenwriter: scriptwriter; screen writer; script writer
+singer: vocalist; lead singer; chanteur
+composer: film composer; music composer; compositor
+songwriter: song writer; lyricist
 record producer: music producer
 drummer: drum player
 violinist: violin player
-disc jockey: dj; d j; club dj; deejay
-footballer: football player; soccer player; football pro
-cricketer: cricket player; cricket pro
+disc jockey: dj; deejay
+footballer: football player; soccer player
+cricketer: cricket player
 tennis player: tennis pro
-basketball player: basketballer; hoops player; basketball pro
+basketball player: basketballer
 swimmer: competitive swimmer
-racing driver: race car driver; f1 driver; formula 1 driver; race driver
-youtuber: you tube creator; youtube creator; yt creator; youtube personality; you tuber
+racing driver: race car driver; race driver; formula 1 driver; f1 driver
+youtuber: youtube creator; yt creator; youtube personality
 streamer: live streamer; game streamer; twitch streamer
 podcaster: podcast host
 fashion model: runway model; catwalk model
-photographer: photog; photo artist
+photographer: photog
 journalist: journo; reporter; periodista; journaliste
-news presenter: news anchor; newsreader; news reader; tv newscaster; newscaster
+news presenter: news anchor; newsreader; newscaster
 columnist: newspaper columnist
-politician: elected politician; político; politiker
+politician: político; politiker; elected politician
 diplomat: career diplomat
 novelist: novel writer; fiction writer
 poet: poetess; dichter; poeta
-playwright: dramatist; play writer
-chief executive: ceo; c e o; chief exec officer; chief executive officer; chief exec
-entrepreneur: startup founder; business founder; start up founder
-comedian: comic; stand up comic; comedienne; stand up comedian
+playwright: dramatist
+chief executive: ceo; chief executive officer; chief exec
+entrepreneur: startup founder; business founder
+comedian: comic; comedienne; stand up comedian; stand up comic
 magician: illusionist
 chef: head cook; celebrity chef; cook
-pastry chef: pâtissier; patissier; pâtissière
-"""
-
-#: Values that are close to an entry of a list but name something else.
-NO_ROLE = """
-sinker; dentist; actuary; modeller of ships; astronomer; pilot; mascot; plumber; puppeteer; dog trainer; tax adviser;
-brand ambassador; chief of staff; fan account; winner; misc talent; various; unknown; see notes; tbc; diploma; dancer; tailor;
-trimmer; steamer; drama; comet; chief; founder; driver; player; presenter; producer; tutor; doctor; rector; collector
-"""
-
-COUNTRY_CODES = """
-India IN IND; United States US USA; United Kingdom GB GBR; Canada CA CAN; Australia AU AUS; Austria AT AUT; Japan JP JPN;
-South Korea KR KOR; North Korea KP PRK; France FR FRA; Germany DE DEU; Spain ES ESP; Italy IT ITA; Brazil BR BRA;
-Mexico MX MEX; Niger NE NER; Nigeria NG NGA; Indonesia ID IDN; Philippines PH PHL; Thailand TH THA; China CN CHN;
-Russia RU RUS; Netherlands NL NLD; Sweden SE SWE; Switzerland CH CHE; United Arab Emirates AE ARE; Saudi Arabia SA SAU;
-Singapore SG SGP; Ireland IE IRL; Iceland IS ISL; Iran IR IRN; Iraq IQ IRQ; Portugal PT PRT; Poland PL POL; Norway NO NOR;
-Denmark DK DNK; Finland FI FIN; Greece GR GRC; Turkey TR TUR; Ukraine UA UKR; Romania RO ROU; Hungary HU HUN; Czechia CZ CZE;
-Slovakia SK SVK; Slovenia SI SVN; Croatia HR HRV; Argentina AR ARG; Chile CL CHL; Colombia CO COL; Peru PE PER; Egypt EG EGY;
-Morocco MA MAR; Kenya KE KEN; Ghana GH GHA; South Africa ZA ZAF; New Zealand NZ NZL; Vietnam VN VNM; Malaysia MY MYS;
-Pakistan PK PAK; Bangladesh BD BGD; Sri Lanka LK LKA; Dominica DM DMA; Dominican Republic DO DOM; Côte d'Ivoire CI CIV;
-Mali ML MLI; Malawi MW MWI; Malta MT MLT
+pastry chef: pâtissier; pâtissière
 """
 
+# Informal, formal and romanised names of countries that the locale data lack.
 COUNTRIES = """
-India: भारत; bharat; republic of india
-United States: u s; u s a; america; america us; the states; estados unidos; états unis; usa; united states of america
-United Kingdom: u k; uk; great britain; england wales uk; england; britain; scotland; wales; vereinigtes königreich
-Australia: commonwealth of australia
-Austria: österreich; autriche; oesterreich
-Japan: nippon; nihon; 日本; japon
-South Korea: s korea; rok; republic of korea; korea south; 대한민국; 한국; korea
-North Korea: n korea; dprk; korea north; 조선
-France: république française; french republic; frankreich
-Germany: deutschland; allemagne; alemania; ger; federal republic of germany; bundesrepublik deutschland
-Spain: españa; espana; espagne; spanien
-Italy: italia; italie; italien
-Brazil: brasil; brésil
-Mexico: méxico; mexique
+India: bharat
+United States: u s; u s a; america; the states
+United Kingdom: u k; great britain; britain; england; scotland; wales
+Japan: nippon; nihon
+South Korea: s korea; rok; korea; korea south; republic of korea
+North Korea: n korea; dprk; korea north
+France: french republic; république française
+Germany: ger; federal republic of germany
+Greece: hellas; hellenic republic
 Nigeria: federal republic of nigeria
-Indonesia: rep of indonesia; republic of indonesia
-Philippines: the philippines; pilipinas; filipinas
-Thailand: ประเทศไทย; siam
-China: p r china; prc; peoples republic of china; people s republic of china; 中国; zhongguo
-Russia: russian federation; россия; rossiya
-Netherlands: the netherlands; holland; nederland; pays bas
-Sweden: sverige; schweden
-Switzerland: schweiz; suisse; svizzera
-United Arab Emirates: u a e; uae; emirates; emirates uae
+China: prc; p r china; people's republic of china; zhongguo
+Russia: russian federation; rossiya
+Netherlands: the netherlands; holland
+United Arab Emirates: u a e; uae; emirates
 Saudi Arabia: k s a; ksa; kingdom of saudi arabia
-Ireland: éire; republic of ireland
-Iceland: ísland
+Ireland: republic of ireland
 Iran: islamic republic of iran; persia
-Poland: polska; pologne
-Norway: norge; norwegen
-Denmark: danmark
-Finland: suomi
-Greece: hellas; ελλάδα; hellenic republic
-Turkey: türkiye; turkiye; türkei
-Ukraine: україна; the ukraine; ukraina
-Romania: românia
-Hungary: magyarország; ungarn
-Czechia: česko; czech rep; czech republic
-Slovakia: slovensko; slovak republic
-Slovenia: slovenija
-Croatia: hrvatska
-Egypt: misr; مصر
-Morocco: maroc; al maghrib
-South Africa: s africa; rsa; suid afrika; republic of south africa
-New Zealand: aotearoa; n zealand
-Vietnam: viet nam; việt nam
+Thailand: siam
+Indonesia: republic of indonesia
+Philippines: the philippines; pilipinas
+Ukraine: the ukraine
+Czechia: czech republic; czech rep
+Slovakia: slovak republic
+Egypt: misr
+Morocco: al maghrib
+South Africa: s africa; rsa; republic of south africa
+New Zealand: n zealand; aotearoa
+Vietnam: viet nam
 Sri Lanka: ceylon
-Dominican Republic: dominican rep; república dominicana
-Côte d'Ivoire: ivory coast; cote d ivoire
-"""
-
-NO_COUNTRY = """
-indiana; austrasia; marlonia; velantis; ostrovia; scandinavia; europe; latam; emea; apac; asia pacific; global; worldwide;
-north; various; unknown; multi market; middle earth east; africa; asia; america north; tbc; eurasia; oceania; georgia usa; republic
+Dominican Republic: dominican rep
+Côte d'Ivoire: ivory coast
 """
 
 
@@ -129,13 +97,39 @@ def _entries(text: str) -> list[tuple[str, str]]:
     return [(entry.strip(), name.strip()) for line in text.strip().splitlines() for entry, _, names in [line.partition(":")] for name in names.split(";")]
 
 
-def aliases(field: str) -> list[tuple[str, str]]:
-    """(entry, other name) of the list for ``role`` or ``country``."""
-    if field == "role":
-        return _entries(ROLES)
-    codes = [x.split() for x in COUNTRY_CODES.replace("\n", " ").split(";")]
-    return _entries(COUNTRIES) + [(" ".join(x[:-2]), code) for x in codes for code in x[-2:]]
+_named: dict[str, tuple[str, list[str]]] = {}
+
+
+def _locales(spark: SparkSession) -> dict[str, tuple[str, list[str]]]:
+    """Normal form of every country's English name -> (ISO code, languages spoken there)."""
+    if not _named:
+        locale = spark._jvm.java.util.Locale
+        spoken: dict[str, set[str]] = {}
+        for tag in map(str, locale.getAvailableLocales()):
+            language, *rest = tag.partition("_#")[0].split("_")
+            for part in rest:
+                if len(part) == 2 and part.isupper():
+                    spoken.setdefault(part, set()).add(language)
+        english = locale("en")
+        for code in locale.getISOCountries():
+            _named[normal_form(locale("", code).getDisplayCountry(english))] = (code, sorted(spoken.get(code, set())))
+    return _named
 
 
-def decoys(field: str) -> list[str]:
-    return [x.strip() for x in (NO_ROLE if field == "role" else NO_COUNTRY).replace("\n", " ").split(";")]
+def country_names(spark: SparkSession, names: list[str]) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
+    """(name, other name) pairs of the countries of a list: their names in other languages, and their codes."""
+    locale, known = spark._jvm.java.util.Locale, _locales(spark)
+    other, codes = [], []
+    for name in names:
+        code, languages = known.get(normal_form(name), (None, []))
+        if code is None:
+            continue
+        there = locale("", code)
+        codes += [(name, code), (name, there.getISO3Country())]
+        other += [(name, there.getDisplayCountry(locale(x))) for x in [*EVERYWHERE, *(x for x in languages if x not in EVERYWHERE)]]
+    return other, codes
+
+
+def aliases(field: str) -> list[tuple[str, str]]:
+    """(entry, other name) of the fixed values for ``role`` or ``country``."""
+    return _entries(ROLES if field == "role" else COUNTRIES)

@@ -13,7 +13,8 @@ def reference_lists(spark: SparkSession, folder: str) -> tuple[dict[str, list],
     """Entries and names of the two lists, which are fixed and small."""
     roles = [(r.role_id, r.role, None) for r in table(spark, folder, "role_ref").collect()]
     countries = [(r.country_id, r.country, list(r.aliases or [])) for r in table(spark, folder, "country_ref").collect()]
-    lists = {f: canonical.entries_of(rows, lexicon.aliases(f), lexicon.decoys(f)) for f, rows in (("role", roles), ("country", countries))}
+    foreign, codes = lexicon.country_names(spark, [r[1] for r in countries if r[1]])
+    lists = {"role": canonical.entries_of(roles, lexicon.aliases("role")), "country": canonical.entries_of(countries, lexicon.aliases("country"), foreign, codes)}
     return lists, {"role": [r[1] for r in roles], "country": [r[1] for r in countries]}
 
 
