@@ -164,6 +164,11 @@ o AS (SELECT *, CASE WHEN place - lag(place) OVER (PARTITION BY doc_id ORDER BY
 x AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY place) AS stretch FROM o)
 SELECT doc_id, CAST(min(place) AS INTEGER) AS first_word, CAST(max(place) + 29 AS INTEGER) AS last_word FROM x GROUP BY doc_id, stretch"""
 
+_PORTION = f"""
+WITH every AS (SELECT doc_id, max(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+'), lambda x: x <> ''))) AS words FROM documents GROUP BY 1),
+held AS (SELECT doc_id, sum(last_word - first_word + 1) AS n FROM ({_SPANS}) GROUP BY 1)
+SELECT doc_id, words, CAST(coalesce(n, 0) AS BIGINT) AS shared_words, CASE WHEN words > 0 THEN CAST(coalesce(n, 0) AS DOUBLE) / words END AS share FROM every LEFT JOIN held USING (doc_id)"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"p8_found": _LEAKS, "p10_found": _SPANS}
+    return {"p8_found": _LEAKS, "p10_found": _SPANS, "p10_portion": _PORTION}

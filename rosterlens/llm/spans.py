@@ -2,8 +2,11 @@
 
 First pass: every partition sketches the windows of its records, the partitions' sketches are merged by shards of cells, and
 what remains of them is one bit a cell: counted twice or more. Second pass: only windows whose estimate says "repeated" are
-grouped, exactly. The sketch overestimates and never underestimates, so no repeated window is lost, whatever its size;
-a sketch too small for its corpus only lets more windows through to the exact grouping.
+grouped, exactly. The sketch overestimates and never underestimates, so no repeated window is lost, whatever its size.
+
+The sketch grows with the corpus, CELLS_A_MINIMIZER cells to each minimizer a text of its length holds, so that few windows pass
+that stand once. Up to MOST_CELLS it goes to the executors. A larger one is kept where the shuffle puts it, as a table of
+its cells, each of which is then a 64-bit hash by itself: the minimizers of all records are counted by it and joined to it.
 
 What is sketched of a window is its minimizer, the least of the hashes of its shorter word runs: equal windows have equal
 minimizers, and neighbouring windows mostly share theirs, so a corpus has far fewer of them than windows.
@@ -20,10 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Cells of each of the sketch's rows: 2 rows of one bit each go to the executors, 8 MB a row, whatever the corpus.
-CELLS = 1 << 26
+from ..session import materialise
+
+#: Cells of each of the sketch's rows: so many for each minimizer expected, within these bounds; a cell is one bit on the executors.
+CELLS_A_MINIMIZER = 8
+LEAST_CELLS, MOST_CELLS = 1 << 22, 1 << 28
+#: Bytes of text for one minimizer of 30-word windows, as measured on English; other texts only change how full the sketch is.
+MINIMIZER_BYTES = 64
 ROWS = 2
-#: Shards in which partial sketches are merged; a shard is a range of cells and takes CELLS / SHARDS bits.
+#: Shards in which partial sketches are merged, each in its own task if there are enough; a shard is a range of cells.
 SHARDS = 64
 #: Records that are windowed at a time.
 CHUNK = 1024
@@ -189,37 +197,82 @@ class Sketch:
         return out
 
 
-def sketch(texts: DataFrame, length: int, cells: int = CELLS) -> Sketch:
+def cells_for(size: int, length: int) -> int:
+    """Cells for a corpus of so many bytes: a power of two, at least LEAST_CELLS. Longer windows have fewer minimizers."""
+    wanted = CELLS_A_MINIMIZER * size * 30 // (MINIMIZER_BYTES * length)
+    return max(LEAST_CELLS, 1 << max(0, wanted - 1).bit_length())
+
+
+def sketch(texts: DataFrame, length: int, cells: int) -> Sketch:
     """The merged sketch of the windows of the one string column of texts."""
-    merged = texts.mapInArrow(_partial(length, cells), "shard int, seen binary, again binary").repartition(16, "shard").sortWithinPartitions("shard").mapInArrow(_merge(cells), "shard int, low bigint, bits binary")
+    parts = texts.mapInArrow(_partial(length, cells), "shard int, seen binary, again binary")
+    tasks = max(16, min(ROWS * SHARDS, texts.sparkSession.sparkContext.defaultParallelism))
+    merged = parts.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(_merge(cells), "shard int, low bigint, bits binary")
     out = Sketch(cells)
-    for row in merged.toLocalIterator():  # ROWS * SHARDS rows of CELLS / SHARDS bits
+    for row in merged.toLocalIterator():  # ROWS * SHARDS rows, together two bits a cell
         out.put(row.shard, row.low, bytes(row.bits))
     return out
 
 
-def shared_spans(docs: DataFrame, key: str, text: str, length: int = 30, cells: int = CELLS) -> DataFrame:
+def _windowed(src: DataFrame, key: str, length: int, repeated, told: str | None = None) -> DataFrame:
+    """hash, key, ``at`` of the windows whose minimizer is repeated: by the sketch, or one of the record's own in the column ``told``."""
+    schema = T.StructType([T.StructField("hash", T.LongType()), src.schema[key], T.StructField("at", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(at, CHUNK)
+                whole, least, record, first = windows(part.column(1), length)
+                if told is None:
+                    keep = np.flatnonzero(repeated.value.repeated(least))
+                else:  # (record, minimizer) pairs, each mixed into one number
+                    own = part.column(2)
+                    held = np.repeat(np.arange(part.num_rows), pc.list_value_length(own).to_numpy().astype(np.int64))
+                    keep = np.flatnonzero(np.isin(_join(least, record.astype(np.uint64)), _join(own.flatten().to_numpy().view(np.uint64), held.astype(np.uint64))))
+                yield pa.RecordBatch.from_arrays([pa.array(whole[keep].view(np.int64)), part.column(0).take(pa.array(record[keep])), pa.array(first[keep].astype(np.int32))], names=schema.names)
+
+    return src.mapInArrow(run, schema)
+
+
+def _repeated_minimizers(src: DataFrame, key: str, length: int) -> DataFrame:
+    """key, ``m`` (array): the record's minimizers that other places have too, by a shuffle of all minimizers."""
+    schema = T.StructType([src.schema[key], T.StructField("m", T.LongType()), T.StructField("n", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(at, CHUNK)
+                _, least, record, _ = windows(part.column(1), length)
+                new = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (record[1:] != record[:-1])]) if len(least) else np.zeros(0, bool))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(record[new])), pa.array(least[new].view(np.int64)), pa.array(np.ones(len(new), np.int32))], names=schema.names)
+
+    every = src.mapInArrow(run, schema)
+    several = every.groupBy("m").agg(F.sum("n").alias("n")).filter("n > 1").select("m")
+    return every.select(key, "m").join(several, "m", "left_semi").groupBy(key).agg(F.collect_set("m").alias("m"))
+
+
+def candidates(docs: DataFrame, key: str, text: str, length: int = 30, most: int = MOST_CELLS, cells: int | None = None) -> DataFrame:
+    """hash, key, ``at`` (first word) of every window that may be repeated: all that are, and few others."""
+    src = docs.select(F.col(key), F.col(text).alias("__text")).filter(F.col("__text").isNotNull() & F.col(key).isNotNull())
+    cells = cells or cells_for(src.agg(F.sum(F.octet_length("__text")).alias("n")).first().n or 0, length)
+    if cells <= most:
+        return _windowed(src, key, length, docs.sparkSession.sparkContext.broadcast(sketch(src.select("__text"), length, cells)))
+    told = _repeated_minimizers(src, key, length).withColumnRenamed(key, "__key")
+    return _windowed(src.join(told, F.col(key) == F.col("__key")).select(key, "__text", "m"), key, length, None, "m")
+
+
+def shared_spans(docs: DataFrame, key: str, text: str, length: int = 30, most: int = MOST_CELLS, cells: int | None = None) -> DataFrame:
     """key, ``first_word``, ``last_word``: each longest unbroken stretch of words that lie in windows other records hold too.
 
     Words are counted from 0. A record given twice under one key is one record; records of different keys with the same
-    text share it. Null, empty and shorter texts share nothing; texts are taken whole, however long.
+    text share it. Null, empty and shorter texts share nothing; texts are taken whole, however long. ``most`` is the largest
+    sketch sent to the executors; ``cells`` sets its size, which is otherwise that for the size of the texts. Neither changes
+    the result.
 
     Windows are told apart by 64-bit hashes: among n windows that came through, two different ones share a hash with a
     chance of about n^2 / 2^65.
     """
-    src = docs.select(F.col(key), F.col(text).alias("__text")).filter(F.col("__text").isNotNull() & F.col(key).isNotNull())
-    shared = docs.sparkSession.sparkContext.broadcast(sketch(src.select("__text"), length, cells))
-    schema = T.StructType([T.StructField("hash", T.LongType()), src.schema[key], T.StructField("at", T.IntegerType())])
-
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, CHUNK):
-                whole, least, record, first = windows(batch.column(1).slice(at, CHUNK), length)
-                keep = np.flatnonzero(known.repeated(least))
-                yield pa.RecordBatch.from_arrays([pa.array(whole[keep].view(np.int64)), batch.column(0).take(pa.array(record[keep] + at)), pa.array(first[keep].astype(np.int32))], names=schema.names)
-
-    met = src.mapInArrow(candidates, schema)
+    met = materialise(candidates(docs, key, text, length, most, cells), "windows")  # for both sides of the join below
     # a window that a third of all records hold collapses before the shuffle: two keys are all that is kept of it
     several = met.groupBy("hash").agg(F.min(key).alias("a"), F.max(key).alias("b")).filter(F.col("a") != F.col("b")).select("hash")
     places = met.join(several, "hash", "left_semi").groupBy(key).agg(F.array_sort(F.collect_set("at")).alias("p"))

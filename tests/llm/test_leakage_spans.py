@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rosterlens.llm import leakage, spans
@@ -120,8 +121,8 @@ def brute_spans(docs, n):
     return out
 
 
-@pytest.mark.parametrize("cells", [spans.CELLS >> 6, 64 * 8])
-def test_spans_against_brute_force(spark, cells):
+@pytest.mark.parametrize(("cells", "most"), [(1 << 20, 1 << 28), (64 * 8, 1 << 28), (None, 1 << 28), (None, 1)])
+def test_spans_against_brute_force(spark, cells, most):
     docs = [(d, prose(120)) for d in range(80)]
     notice = prose(33)
     for d in range(0, 70):
@@ -134,24 +135,38 @@ def test_spans_against_brute_force(spark, cells):
     twice = prose(31)
     docs += [(200, None), (201, ""), (202, "short"), (203, twice + " mid " + twice), (204, docs[1][1]), (204, docs[1][1]), (205, "same " * 50), (206, " same" * 35)]
     df = spark.createDataFrame([(*d, 1, "q") for d in docs], "id long, text string, hash int, at string")
-    got = {(r.id, r.first_word, r.last_word) for r in spans.shared_spans(df, "id", "text", 30, cells).collect()}
+    got = {(r.id, r.first_word, r.last_word) for r in spans.shared_spans(df, "id", "text", 30, most, cells).collect()}
     assert got == brute_spans(docs, 30) and got
 
 
+def test_few_single_windows_pass_however_large_the_corpus(spark):
+    """Sixteen times more minimizers than cells may go to the executors: the sketch is sharded, and hardly a window passes that stands once."""
+    own = random.Random(3)
+    docs = [(d, " ".join(f"w{own.randrange(10**6)}" for _ in range(200))) for d in range(400)]
+    docs += [(d + 400, docs[d][1]) for d in range(10)]
+    df = spark.createDataFrame(docs, "id long, text string")
+    minimizers = sum(len(np.unique(spans.windows(pa.array([t]), 30)[1])) for _, t in docs)
+    for kw in ({"most": minimizers // 16}, {}):
+        got = spans.candidates(df, "id", "text", 30, **kw).groupBy("hash").count().collect()
+        once = sum(r["count"] == 1 for r in got)
+        assert len(got) - once == 10 * 171 and once < 0.1 * 390 * 171
+    assert spans.cells_for(10**9, 30) >= 8 * 10**9 // 69 and spans.cells_for(10**12, 30) > spans.MOST_CELLS
+
+
 def test_portion_and_empty_table(spark):
     p = prose(40)
     df = spark.createDataFrame([(1, p + " " + prose(40)), (2, p), (3, None), (4, "")], "id long, text string")
-    s = spans.shared_spans(df, "id", "text", 30, 1 << 16)
+    s = spans.shared_spans(df, "id", "text", 30)
     got = {r.id: (r.words, r.shared_words, r.share) for r in spans.shared_portion(df, "id", "text", s).collect()}
     assert got == {1: (80, 40, 0.5), 2: (40, 40, 1.0), 3: (0, 0, None), 4: (0, 0, None)}
-    assert spans.shared_spans(df.limit(0), "id", "text", 30, 1 << 16).count() == 0
+    assert spans.shared_spans(df.limit(0), "id", "text", 30).count() == 0
 
 
 def test_portion_counts_words_between_any_white_space(spark):
     p = prose(40)
     texts = ["\n\t " + "  ".join(p.split()) + "\r\n", p.replace(" ", "\n", 9).replace(" ", "\t", 9).replace(" ", "\u00a0", 5).replace(" ", "\u3000", 5) + " \u2003\n own words", " \n\t\u00a0", "one"]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
-    s = spans.shared_spans(df, "id", "text", 30, 1 << 16)
+    s = spans.shared_spans(df, "id", "text", 30)
     got = {r.id: (r.words, r.shared_words, r.share) for r in spans.shared_portion(df, "id", "text", s).collect()}
     assert got == {0: (40, 40, 1.0), 1: (42, 40, 40 / 42), 2: (0, 0, None), 3: (1, 0, 0.0)}
 
