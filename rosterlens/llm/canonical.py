@@ -148,7 +148,9 @@ class BKTree:
             if short:
                 near += [f for f in self.heads.get(_head(form), ()) if _cut_short(form.split(" "), f.split(" "), short)]
             found += [(1, rank, f, i) for f in near for f, i, rank in self.exact[f] if rank != EXACT]
-            found += [(d, rank, f, i) for d, (f, i, rank) in self.within(form, 2) if d <= allowed(f, rank)]
+            nearest = min(found)[0] if found else 2  # what lies further cannot win
+            if nearest:
+                found += [(d, rank, f, i) for d, (f, i, rank) in self.within(form, nearest) if d <= allowed(f, rank)]
         parts = _BREAKS.split(_NOTES.sub(" ", value))
         if len(parts) > 1:
             found += [(2, rank, f, i) for p in parts for f, i, rank in self.exact.get(normal_form(p), ())]
@@ -249,7 +251,7 @@ def _won(values: DataFrame, entries: list[Entry] | DataFrame, shards: int) -> Da
         n = len(entries)
     if not shards and n <= WHOLE:
         tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        won = values.repartition(tasks, "value").mapInArrow(_search(tuple(entries)), _WON).filter("d IS NOT NULL")
+        won = values.repartition(tasks).mapInArrow(_search(tuple(entries)), _WON).filter("d IS NOT NULL")
         return won.select(F.col("value").alias("__value"), F.col("id").alias("ref_id"), F.col("d").alias("distance"))
     held = entries if isinstance(entries, DataFrame) else spark.createDataFrame(entries, "form string, id string, rank int")
     shards, blocks = shards or -(-n // BLOCK), max(1, -(-values.count() // BLOCK))  # a task holds some BLOCK of either
