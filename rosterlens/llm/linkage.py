@@ -107,12 +107,74 @@ def edits_allowed(length: int) -> int:
     return 0 if length < 5 else 1 if length < 8 else 2
 
 
+#: Surnames up to this length are compared many at a time; longer ones one by one.
+_LONG = 40
+
+
+def surname_levels(a: list[str], b: list[str]) -> np.ndarray:
+    """surnames_agree of every pair, by one banded distance over arrays of letters."""
+    out = np.full(len(a), 3)
+    n, m = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+    odd = np.fromiter((x[:1] == "~" or y[:1] == "~" for x, y in zip(a, b, strict=True)), bool, len(a)) | (np.maximum(n, m) > _LONG)
+    for i in np.flatnonzero(odd).tolist():
+        out[i] = surnames_agree(a[i], b[i])
+    at = np.flatnonzero(~odd & (np.abs(n - m) <= 2))
+    if len(at):
+        d = banded_distance([a[i] for i in at], [b[i] for i in at], n[at], m[at], 2)
+        longer = np.maximum(n[at], m[at])
+        out[at] = np.where(d <= np.where(longer < 5, 0, np.where(longer < 8, 1, 2)), d, 3)
+    return out
+
+
+def banded_distance(a: list[str], b: list[str], n: np.ndarray, m: np.ndarray, k: int) -> np.ndarray:
+    """Restricted Damerau-Levenshtein distances of pairs whose lengths differ by at most k; k+1 stands for more than k."""
+
+    def letters(texts: list[str], sizes: np.ndarray, pad: int) -> np.ndarray:
+        grid = np.full((len(texts), int(sizes.max(initial=0)) + 2 * k + 2), pad, np.int32)
+        grid[:, k + 1 :][np.arange(grid.shape[1] - k - 1) < sizes[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.int32)
+        return grid.T.copy()  # grid[k + i] holds letter i, counted from 1
+
+    x, y = letters(a, n, -1), letters(b, m, -2)
+    far = np.full(len(a), k + 1, np.int32)
+    # diagonal c of row i holds the distance of the first i letters of a and the first i + c - k of b
+    row = [np.where(c - k <= m, c - k, k + 1).astype(np.int32) if c >= k else far for c in range(2 * k + 1)]
+    before = [far] * (2 * k + 1)
+    out = far.copy()
+
+    def take(i: int, row: list[np.ndarray]) -> None:
+        done = np.flatnonzero(n == i)
+        if len(done):
+            out[done] = np.stack(row)[m[done] - i + k, done]
+
+    take(0, row)
+    for i in range(1, int(n.max(initial=0)) + 1):
+        new: list[np.ndarray] = []
+        for c in range(2 * k + 1):
+            j = i + c - k
+            if j < 0 or k + j >= len(y):
+                new.append(far)
+                continue
+            if j == 0:
+                new.append(np.full(len(a), min(i, k + 1), np.int32))
+                continue
+            d = row[c] + (x[k + i] != y[k + j])
+            if c < 2 * k:
+                d = np.minimum(d, row[c + 1] + 1)
+            if c:
+                d = np.minimum(d, new[c - 1] + 1)
+            if i > 1 and j > 1:
+                d = np.where((x[k + i] == y[k + j - 1]) & (x[k + i - 1] == y[k + j]), np.minimum(d, before[c] + 1), d)
+            new.append(np.minimum(d, k + 1).astype(np.int32))
+        before, row = row, new
+        take(i, row)
+    return out
+
+
 @F.pandas_udf(T.StructType([T.StructField(c, T.IntegerType()) for c in ("surname", "given", "middle")]))
 def compare_names(sa: pd.Series, sb: pd.Series, ga: pd.Series, gb: pd.Series, ma: pd.Series, mb: pd.Series) -> pd.DataFrame:
     known: dict[tuple[str, str], int] = {}
-    sur, giv = [], []
-    for a, b, c, d in zip(sa, sb, ga, gb, strict=True):
-        sur.append(surnames_agree(a, b))
+    sur, giv = surname_levels(list(sa), list(sb)), []
+    for c, d in zip(ga, gb, strict=True):
         if (c, d) not in known:
             g = person_names.given_names_agree(c, d)
             known[c, d] = 3 if g is None else 3 - g

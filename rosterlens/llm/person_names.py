@@ -6,6 +6,8 @@ import re
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
+
 # Titles, suffixes and particles around names.
 TITLES = set("mr mrs ms miss dr prof professor sir dame lady lord phd md jr sr ii iii iv esq official the".split())
 PARTICLES = set("van von de da di del della der den la le al el bin ibn dos du".split())
@@ -111,15 +113,23 @@ def tokens(name: str) -> tuple[list[str], bool]:
     return [f for f in folded if f], flipped
 
 
+def _letters(word: str) -> int:
+    """Which letters a word holds, as bits."""
+    out = 0
+    for c in word:
+        out |= 1 << (ord(c) & 63)
+    return out
+
+
 class Parser:
     """Takes names apart, knowing how often the words that are common in names occur: given names, but for a few."""
 
     def __init__(self, common: dict[str, int]):
         self.common = common
         self._near = lru_cache(200_000)(self._nearest)
-        self._by_length: dict[int, list[str]] = {}
-        for c in common:
-            self._by_length.setdefault(len(c), []).append(c)
+        self._words = sorted(common)
+        self._lengths = np.array([len(c) for c in self._words], np.int64)
+        self._letters = np.array([_letters(c) for c in self._words], np.uint64)
 
     def _nearest(self, token: str) -> str | None:
         """The common given name that the token is, is short for or nearly is."""
@@ -127,9 +137,13 @@ class Parser:
             return token
         if short := sorted(_SHORT.get(token, set()) & self.common.keys()):
             return short[0]
-        if len(token) >= 5:
-            near = [(n, 2 if n >= 7 else 1) for n in range(max(4, len(token) - 2), len(token) + 3)]
-            found = [(d, c) for n, k in near if abs(n - len(token)) <= k for c in self._by_length.get(n, ()) if (d := within(token, c, k)) is not None]
+        if len(token) >= 5 and len(self._words):
+            n = self._lengths
+            k = np.where(n >= 7, 2, 1)
+            own = np.uint64(_letters(token))
+            # an edit changes one letter at most: what lacks more letters of the other is further away
+            may = (n >= 4) & (np.abs(n - len(token)) <= k) & (np.bitwise_count(self._letters & ~own) <= k) & (np.bitwise_count(own & ~self._letters) <= k)
+            found = [(d, self._words[i]) for i in np.flatnonzero(may).tolist() if (d := within(token, self._words[i], int(k[i]))) is not None]
             return min(found)[1] if found else None
         return None
 
