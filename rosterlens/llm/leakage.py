@@ -1,11 +1,11 @@
 """Passages of evaluation texts within documents: q-gram lemma filtering in diagonal bands, verified by banded alignment.
 
-Both sides become words in one form, joined by single spaces. A region of an item that a document holds within e edits over a
-stretch of L characters shares at least L - q + 1 - q*e q-grams with it, all within a band of diagonals. So q-grams of a
-document that the items also have are counted by overlapping bands of diagonals; bands that reach the bound are
-verified by a banded alignment of words.
+Both sides become words in one form, joined by single spaces. An edit is a word replaced, inserted or dropped. A stretch of an
+item that a document holds within e edits is e+1 pieces at most, which together share at least L - (e+1)(q-1) q-grams with it,
+L being their characters, all within a band of diagonals. So q-grams of a document that the items also have are counted
+by overlapping bands of diagonals; bands that reach the item's bound are verified by a banded alignment of words.
 
-Items are few and fixed (a checked bound): their q-grams go to every executor, and the documents are read once, without a shuffle.
+The q-grams of items of a checked size go to every executor, and the documents are read without a shuffle, once for so many items.
 """
 
 from __future__ import annotations
@@ -13,19 +13,21 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-#: Characters of all items together up to which they may be sent to the executors whole.
-WHOLE = 50_000_000
+#: Characters of items that are sent to the executors together; more items take so many more passes.
+WHOLE = 20_000_000
 Q = 12
-#: Characters by which a replaced word may differ in length from the one it replaces.
-WORD = 12
+#: Characters, its space included, by which an edit may move what follows: of a word inserted or dropped, or by which a replaced one differs.
+WORD = 13
 _WORD = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -69,10 +71,12 @@ class Index:
         self.word_starts = [list(accumulate((len(x) + 1 for x in w), initial=0))[:-1] for w in self.words]
         self.least, self.edits = least_words, edits
         texts = [" ".join(w) for w in self.words]
-        # the shortest stretch of so many words, and the q-grams it must share within the edits
-        self.shortest = min((min(sum(map(len, w[i : i + least_words])) + least_words - 1 for i in range(len(w) - least_words + 1)) for w in self.words if len(w) >= least_words), default=0)
-        self.q = max(1, min(Q, self.shortest // (edits + 1)))
-        self.bound = max(1, self.shortest - self.q + 1 - (self.q + WORD) * edits)
+        # of each item: the fewest characters that so many words, less the edits between them, can have
+        fewest = [self._fewest([len(x) for x in w]) for w in self.words]
+        shortest = min((x for x in fewest if x), default=0)
+        self.q = max(1, min(Q, shortest // (edits + 1)))
+        self.bounds = np.array([max(1, x - (edits + 1) * (self.q - 1)) if x else 1 << 40 for x in fewest], np.int64)
+        self.bound = int(self.bounds.min(initial=1 << 40))
         self.starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]).astype(np.int64)
         all_points = _points("\n".join(texts))
         grams = _grams(all_points, self.q)
@@ -86,6 +90,14 @@ class Index:
         self.seen = np.zeros(1 << 22, bool)  # which q-grams may be among them, by their leading bits
         self.seen[(self.grams >> np.uint64(42)).astype(np.int64)] = True
 
+    def _fewest(self, sizes: list[int]) -> int:
+        """The fewest characters of ``least`` words, with the spaces within their pieces, of a stretch with ``edits`` more; 0 for shorter items."""
+        wide = min(len(sizes), self.least + self.edits)
+        if len(sizes) < self.least:
+            return 0
+        words = min(sum(sorted(sizes[i : i + wide])[: self.least]) for i in range(len(sizes) - wide + 1))
+        return max(1, words + self.least - self.edits - 1)
+
     def hits(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places, q-grams) of a code-point array that the items have."""
         grams = _grams(points, self.q)
@@ -112,38 +124,43 @@ class Index:
         key = (np.concatenate([item, item]) if self.edits else item).astype(np.int64) * shift * 2 + band + shift
         keys, counts = np.unique(key, return_counts=True)
         out = []
-        for x in keys[counts >= self.bound].tolist():
+        for x in keys[counts >= self.bounds[keys // (shift * 2)]].tolist():
             i, b = divmod(x, shift * 2)
             b -= shift
             out.append((i, b * width, (b + 2) * width - 1) if self.edits else (i, b, b))
         return out
 
     def longest(self, item: int, doc: list[str], starts: list[int], band: tuple[int, int]) -> tuple[int, int]:
-        """(longest run of equal words, words aligned within the edits) of an item and a document along a band of diagonals."""
+        """(longest run of equal words, most words aligned within the edits) of an item and a document along a band of diagonals."""
         own, at = self.words[item], self.word_starts[item]
         best_run = best = 0
-        # of a cell: equal words of the longest stretch that ends there with at most 0, 1, .. edits of them replaced
-        run: dict[int, tuple[int, ...]] = {}
-        none = (0,) * (self.edits + 1)
+        # of a cell: equal words of the longest stretch that ends there with at most 0, 1, .. edits
+        above: dict[int, list[int]] = {}
+        none = [0] * (self.edits + 1)
         lo, hi, slack = band[0], band[1], self.edits
-        first = bisect_left(at, -hi)
-        for i in range(first, len(own)):
+        for i in range(bisect_left(at, starts[0] - hi), len(own)):
             j, last, mine = bisect_left(starts, at[i] + lo), at[i] + hi, own[i]
             if j == len(starts):
                 break
-            row: dict[int, tuple[int, ...]] = {}
+            row: dict[int, list[int]] = {}
             while j < len(starts) and starts[j] <= last:
-                was = run.get(j - 1, none)
+                was = above.get(j - 1, none)
                 if mine == doc[j]:
-                    row[j] = now = tuple([n + 1 for n in was])
+                    now = [n + 1 for n in was]
                     if now[0] > best_run:
                         best_run = now[0]
+                else:
+                    now = none
+                if slack:
+                    up, left = above.get(j, none), row.get(j - 1, none)
+                    if was is not none or up is not none or left is not none:  # replaced, dropped, inserted
+                        now = [now[0], *[max(now[e], was[e - 1], up[e - 1], left[e - 1]) for e in range(1, slack + 1)]]
+                if now is not none:
+                    row[j] = now
                     if now[slack] > best:
                         best = now[slack]
-                elif slack and was[slack - 1]:
-                    row[j] = (0, *was[:slack])
                 j += 1
-            run = row
+            above = row
         return best_run, best
 
     def found(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int]]:
@@ -171,21 +188,29 @@ class Index:
                 yield n, i, run, aligned
 
 
-def leaked(docs: DataFrame, doc_key: str, text: str, items: DataFrame, item_key: str, item_text: str, least_words: int = 12, edits: int = 0) -> DataFrame:
-    """item, document, ``run`` (longest run of equal words), ``aligned`` (words aligned within ``edits`` replaced words, which may differ from theirs by WORD characters in length).
+def leaked(docs: DataFrame, doc_key: str, text: str, items: DataFrame, item_key: str, item_text: str, least_words: int = 12, edits: int = 0, most: int = WHOLE) -> DataFrame:
+    """item, document, ``run`` (longest run of equal words), ``aligned`` (equal words of a stretch with at most ``edits`` words
+    replaced, inserted or dropped, each moving what follows by at most WORD characters).
 
     A pair comes out if it aligns at least ``least_words`` words; with ``edits`` of 0 it holds them in an unbroken run. Null
     and empty texts hold nothing, texts shorter than ``least_words`` words neither; a document given twice is reported twice.
-    Texts are judged whole, however long. Further columns are not carried.
+    Texts are judged whole, however long. Further columns are not carried. Items of more than ``most`` characters together are
+    taken in parts, each with its own pass over the documents.
     """
     held = items.select(item_key, item_text).dropDuplicates([item_key])
     size = held.selectExpr(f"coalesce(sum(length(`{item_text}`)), 0) AS n").first().n
-    if size > WHOLE:
-        raise ValueError(f"the items have {size} characters; at most {WHOLE} go to every executor. Pass them in parts")
+    parts = max(1, -(-size // most))
+    if parts > 1:
+        held = held.withColumn("__part", F.pmod(F.xxhash64(item_key), F.lit(parts)))
+        return reduce(DataFrame.unionByName, [_leaked(docs, doc_key, text, held.filter(F.col("__part") == p).drop("__part"), item_key, item_text, least_words, edits) for p in range(parts)])
+    return _leaked(docs, doc_key, text, held, item_key, item_text, least_words, edits)
+
+
+def _leaked(docs: DataFrame, doc_key: str, text: str, held: DataFrame, item_key: str, item_text: str, least_words: int, edits: int) -> DataFrame:
     index = Index([(r[0], r[1]) for r in held.sort(item_key).collect()], least_words, edits)
     shared = docs.sparkSession.sparkContext.broadcast(index)
     src = docs.select(doc_key, text)
-    schema = T.StructType([T.StructField(item_key, items.schema[item_key].dataType), T.StructField(doc_key, src.schema[doc_key].dataType), T.StructField("run", T.IntegerType()), T.StructField("aligned", T.IntegerType())])
+    schema = T.StructType([T.StructField(item_key, held.schema[item_key].dataType), T.StructField(doc_key, src.schema[doc_key].dataType), T.StructField("run", T.IntegerType()), T.StructField("aligned", T.IntegerType())])
 
     kinds = pa.schema([("item", to_arrow_type(schema[0].dataType)), ("doc", to_arrow_type(schema[1].dataType)), ("run", pa.int32()), ("aligned", pa.int32())])
 

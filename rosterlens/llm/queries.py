@@ -110,16 +110,16 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return p3_linked(spark, folder).filter(F.col("name") != F.col("label")).select("sheet_id", "entity_id")
 
 
-def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    rows = leakage.leaked(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_item"), "item_id", "text")
-    return rows.select("item_id", "doc_id").distinct()
-
-
 def p8_near(spark: SparkSession, folder: str) -> DataFrame:
-    """Items that documents hold with up to one word replaced within the passage."""
+    """Items that documents hold with up to one word replaced, inserted or dropped within the passage."""
     return leakage.leaked(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_item"), "item_id", "text", 12, 1).distinct()
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Of the near passages those that hold twelve words unbroken."""
+    return p8_near(spark, folder).filter("run >= 12").select("item_id", "doc_id").distinct()
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return spans.shared_spans(table(spark, folder, "documents"), "doc_id", "text", 30)
 
