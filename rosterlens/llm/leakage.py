@@ -11,10 +11,8 @@ The q-grams of items of a checked size go to every executor, and the documents a
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 from functools import reduce
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +26,8 @@ WHOLE = 20_000_000
 Q = 12
 #: Characters, its space included, by which an edit may move what follows: of a word inserted or dropped, or by which a replaced one differs.
 WORD = 13
+#: Bands that are aligned together.
+BANDS = 1024
 _WORD = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -68,7 +68,9 @@ class Index:
     def __init__(self, items: list[tuple[object, str]], least_words: int, edits: int):
         self.ids = [i for i, _ in items]
         self.words = [words(t or "") for _, t in items]
-        self.word_starts = [list(accumulate((len(x) + 1 for x in w), initial=0))[:-1] for w in self.words]
+        self.word_starts = [np.cumsum([0, *(len(x) + 1 for x in w)])[:-1] for w in self.words]
+        self.ids_of: dict[str, int] = {}
+        self.word_ids = [np.array([self.ids_of.setdefault(x, len(self.ids_of)) for x in w], np.int64) for w in self.words]
         self.least, self.edits = least_words, edits
         texts = [" ".join(w) for w in self.words]
         # of each item: the fewest characters that so many words, less the edits between them, can have
@@ -130,37 +132,48 @@ class Index:
             out.append((i, b * width, (b + 2) * width - 1) if self.edits else (i, b, b))
         return out
 
-    def longest(self, item: int, doc: list[str], starts: list[int], band: tuple[int, int]) -> tuple[int, int]:
-        """(longest run of equal words, most words aligned within the edits) of an item and a document along a band of diagonals."""
-        own, at = self.words[item], self.word_starts[item]
-        best_run = best = 0
-        # of a cell: equal words of the longest stretch that ends there with at most 0, 1, .. edits
-        above: dict[int, list[int]] = {}
-        none = [0] * (self.edits + 1)
-        lo, hi, slack = band[0], band[1], self.edits
-        for i in range(bisect_left(at, starts[0] - hi), len(own)):
-            j, last, mine = bisect_left(starts, at[i] + lo), at[i] + hi, own[i]
-            if j == len(starts):
-                break
-            row: dict[int, list[int]] = {}
-            while j < len(starts) and starts[j] <= last:
-                was = above.get(j - 1, none)
-                if mine == doc[j]:
-                    now = [n + 1 for n in was]
-                    if now[0] > best_run:
-                        best_run = now[0]
-                else:
-                    now = none
-                if slack:
-                    up, left = above.get(j, none), row.get(j - 1, none)
-                    if was is not none or up is not none or left is not none:  # replaced, dropped, inserted
-                        now = [now[0], *[max(now[e], was[e - 1], up[e - 1], left[e - 1]) for e in range(1, slack + 1)]]
-                if now is not none:
-                    row[j] = now
-                    if now[slack] > best:
-                        best = now[slack]
-                j += 1
+    def longest(self, bands: list[tuple[int, int, int, int]], words: list[np.ndarray], starts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(longest runs of equal words, most words aligned within the edits) of (item, document, first, last diagonal) bands.
+
+        All bands advance together, a word of their items at a time, over the words of their documents that lie within the
+        band; a cell holds the equal words of the longest stretch that ends there with at most 0, 1, .. edits.
+        """
+        item, doc = [np.array([b[k] for b in bands]) for k in (0, 1)]
+        rows = max(len(self.words[i]) for i in item)
+        own = np.full((rows, len(bands)), -1, np.int64)
+        first, last = np.zeros((rows, len(bands)), np.int64), np.zeros((rows, len(bands)), np.int64)
+        for n, (i, d, lo, hi) in enumerate(bands):
+            at = self.word_starts[i]
+            own[: len(at), n] = self.word_ids[i]
+            first[: len(at), n] = np.searchsorted(starts[d], at + lo)
+            last[: len(at), n] = np.searchsorted(starts[d], at + hi, "right")
+            first[len(at) :, n] = last[len(at) :, n] = first[len(at) - 1, n]  # no cells beyond its end
+        width = int((last - first).max(initial=0))
+        place = np.arange(width)
+        ends = np.cumsum([len(w) for w in words])
+        text = np.concatenate([*words, np.full(width + 1, -2)])
+        begin = (ends - [len(w) for w in words])[doc]
+        best_run, best = np.zeros(len(bands), np.int64), np.zeros(len(bands), np.int64)
+        # a column of zeros behind the cells stands for all outside
+        above = [np.zeros((len(bands), width + 1), np.int64) for _ in range(self.edits + 1)]
+        for i in range(rows):
+            shift = first[i] - first[i - 1] if i else first[i]
+            up = place + shift[:, None]
+            diagonal = np.where((up > 0) & (up <= width), up - 1, width)
+            up = np.minimum(up, width)
+            within = place < (last[i] - first[i])[:, None]
+            same = within & (text[np.minimum(begin + first[i], len(text) - width - 1)[:, None] + place] == own[i][:, None])
+            row: list[np.ndarray] = []
+            for e, cells in enumerate(above):
+                now = np.where(same, np.take_along_axis(cells, diagonal, 1) + 1, 0)
+                if e:  # replaced, dropped, inserted
+                    now = np.maximum(now, np.take_along_axis(above[e - 1], diagonal, 1))
+                    now = np.maximum(now, np.take_along_axis(above[e - 1], up, 1))
+                    now[:, 1:] = np.maximum(now[:, 1:], row[e - 1][:, : width - 1])
+                    now *= within
+                row.append(np.concatenate([now, np.zeros((len(bands), 1), np.int64)], 1))
             above = row
+            best_run, best = np.maximum(best_run, row[0].max(1)), np.maximum(best, row[-1].max(1))
         return best_run, best
 
     def found(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int]]:
@@ -171,21 +184,26 @@ class Index:
         ends = np.cumsum([len(t) + 1 for t in joined])
         spots, grams = self.hits(_points("\n".join(joined)))  # no q-gram of an item holds a line break
         bounds = np.searchsorted(spots, np.concatenate([[0], ends]))
+        bands, held, words, starts = [], [], [], []
         for n in np.flatnonzero(np.diff(bounds) >= self.bound).tolist():
             part = slice(bounds[n], bounds[n + 1])
-            bands = self.bands(spots[part] - (ends[n] - len(joined[n]) - 1), grams[part])
-            if not bands:
-                continue
-            doc = joined[n].split(" ")
-            starts = list(accumulate((len(w) + 1 for w in doc), initial=0))[:-1]
-            out: dict[int, tuple[int, int]] = {}
-            for i, a, b in bands:
-                run, aligned = self.longest(i, doc, starts, (a, b))
+            told = self.bands(spots[part] - (ends[n] - len(joined[n]) - 1), grams[part])
+            if told:
+                doc = joined[n].split(" ")
+                bands += [(i, len(held), a, b) for i, a, b in told]
+                held.append(n)
+                words.append(np.array([self.ids_of.get(w, -2) for w in doc]))
+                starts.append(np.cumsum([0, *(len(w) + 1 for w in doc[:-1])]))
+        bands.sort(key=lambda b: len(self.words[b[0]]))
+        out: dict[tuple[int, int], tuple[int, int]] = {}
+        for k in range(0, len(bands), BANDS):
+            some = bands[k : k + BANDS]
+            for (i, d, _, _), run, aligned in zip(some, *(x.tolist() for x in self.longest(some, words, starts)), strict=True):
                 if aligned >= self.least:
-                    was = out.get(i, (0, 0))
-                    out[i] = (max(run, was[0]), max(aligned, was[1]))
-            for i, (run, aligned) in out.items():
-                yield n, i, run, aligned
+                    was = out.get((held[d], i), (0, 0))
+                    out[held[d], i] = (max(run, was[0]), max(aligned, was[1]))
+        for (n, i), (run, aligned) in out.items():
+            yield n, i, run, aligned
 
 
 def leaked(docs: DataFrame, doc_key: str, text: str, items: DataFrame, item_key: str, item_text: str, least_words: int = 12, edits: int = 0, most: int = WHOLE) -> DataFrame:
