@@ -1,8 +1,9 @@
 """Loading delimited records while setting aside those that cannot be loaded, each with its reason.
 
 Records are parsed in blocks by Arrow's columnar CSV reader. A block whose parse does not line up with its records is cut in
-half again and again until the bad records stand nearly alone; those are diagnosed by a strict scan, character by character. Good
-records never reach Python's row-at-a-time path.
+half again and again until each bad record stands alone; those are diagnosed by a strict scan, character by character. Other
+records reach Python's row-at-a-time path only if they hold a line break outside quotes or their delimiter is none the reader takes. What
+a look at all records of a block tells of their quotes and delimiters spares the parses that would fail.
 """
 
 from __future__ import annotations
@@ -24,8 +25,6 @@ FIELDS = ["row_id", "name", "role", "active_year", "country", "context", "client
 YEARS = (1800, 2100)
 #: Records in the first block of a dialect; a block is halved where it fails.
 BLOCK = 512
-#: A failing block of so few records is not halved further: scanning it strictly costs less than the parses would.
-LEAF = 16
 
 _YEAR = r"^([0-9]{4})(\.0)?$"
 
@@ -72,13 +71,6 @@ def _strict(delimiter: str) -> str:
 
 def _columns(raws: pa.Array, delimiter: str, width: int) -> list[pa.Array] | None:
     """The block's columns if every record parses to ``width`` fields, else None."""
-    if len(delimiter) != 1 or delimiter in '"\r\n' or ord(delimiter) > 127:
-        return None  # beyond the columnar reader: every record is scanned strictly
-    if pc.any(pc.match_substring(raws, "\r")).as_py():
-        return None  # the reader takes it for the end of a record
-    quoted = pc.filter(raws, pc.match_substring(raws, '"'))
-    if len(quoted) and not pc.all(pc.match_substring_regex(quoted, _strict(delimiter))).as_py():
-        return None
     # each record is led by its number: a record that swallows the next one, or breaks in two, no longer lines up
     numbers = pa.array(np.arange(len(raws)).astype(str).astype(object), pa.string())
     text = "\n".join(pc.binary_join_element_wise(numbers, raws, delimiter).to_pylist()).encode("utf-8", "surrogatepass") + b"\n"
@@ -97,17 +89,41 @@ def _columns(raws: pa.Array, delimiter: str, width: int) -> list[pa.Array] | Non
     return [t.column(i + 1).combine_chunks() for i in range(width)]
 
 
-def _blocks(raws: pa.Array, delimiter: str, width: int) -> Iterator[tuple[int, int, list[pa.Array] | None]]:
-    """(from, to, columns) of blocks that parse; columns is None for a block of at most LEAF records that does not."""
-    todo = [(i, min(i + BLOCK, len(raws))) for i in range(0, len(raws), BLOCK)][::-1]
-    while todo:
-        a, b = todo.pop()
-        columns = _columns(raws.slice(a, b - a), delimiter, width)
-        if columns is not None or b - a <= LEAF:
-            yield a, b, columns
-        else:
-            middle = (a + b) // 2
-            todo += [(middle, b), (a, middle)]
+def _suspect(raws: pa.Array, delimiter: str, width: int) -> np.ndarray:
+    """Which records the columnar reader would not parse to ``width`` fields, as far as can be told of all at once."""
+    if len(delimiter) != 1 or delimiter in '"\r\n' or ord(delimiter) > 127:
+        return np.ones(len(raws), bool)  # beyond the columnar reader: every record is scanned strictly
+    flags = lambda x: x.to_numpy(zero_copy_only=False)
+    quoted = flags(pc.match_substring(raws, '"'))
+    # the reader takes a carriage return for the end of a record
+    out = flags(pc.match_substring(raws, "\r")) | (~quoted & (flags(pc.count_substring(raws, delimiter)) != width - 1))
+    at = np.flatnonzero(quoted)
+    out[at] |= ~flags(pc.match_substring_regex(raws.take(pa.array(at)), _strict(delimiter)))
+    return out
+
+
+def _blocks(raws: pa.Array, delimiter: str, width: int) -> Iterator[tuple[np.ndarray, list[pa.Array] | None]]:
+    """(records, columns) of blocks that parse; columns is None for a single record that does not."""
+    suspect = _suspect(raws, delimiter, width)
+    for start in range(0, len(raws), BLOCK):
+        todo, sound = [np.arange(start, min(start + BLOCK, len(raws)))], []
+        while todo:
+            part = todo.pop()
+            if not suspect[part].any():
+                sound.append(part)
+            elif len(part) == 1:
+                yield part, None
+            else:
+                todo += [part[len(part) // 2 :], part[: len(part) // 2]]
+        # what is left of the block is parsed together, and halved where that fails
+        todo = [np.concatenate(sound)] if sound else []
+        while todo:
+            part = todo.pop()
+            columns = _columns(raws.take(pa.array(part)), delimiter, width)
+            if columns is not None or len(part) == 1:
+                yield part, columns
+            else:
+                todo += [part[len(part) // 2 :], part[: len(part) // 2]]
 
 
 def _bad_values(place: dict[str, int], columns: list[pa.Array], n: int) -> np.ndarray:
@@ -172,13 +188,13 @@ def _parse(keys: list[str], schema: T.StructType):
             for (delimiter, width, items), rows in groups.items():
                 place, at = dict(items), np.array(rows)
                 own = raws.take(pa.array(at))
-                for a, b, columns in _blocks(own, delimiter, width):
-                    strict = range(a, b)
+                for part, columns in _blocks(own, delimiter, width):
+                    strict = part
                     if columns is not None:
                         for f, p in place.items():
-                            values[f][at[a:b]] = columns[p].to_numpy(zero_copy_only=False)
-                        strict = (a + np.flatnonzero(_bad_values(place, columns, b - a))).tolist()
-                    for j in strict:
+                            values[f][at[part]] = columns[p].to_numpy(zero_copy_only=False)
+                        strict = part[_bad_values(place, columns, len(part))]
+                    for j in strict.tolist():
                         i = rows[j]
                         reason[i], detail[i], fields = diagnose(own[j].as_py(), delimiter, width, place)
                         for f, p in place.items():

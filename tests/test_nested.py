@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from rosterlens.operators.nested import child_table, json_elements
+from rosterlens.operators.nested import NoJson, child_table, json_elements, json_rejects, scan
 
 
 def expected(text):
@@ -85,3 +85,47 @@ def test_child_table_keeps_links_and_optional_fields(spark):
 def test_values_are_the_objects(spark):
     df = spark.createDataFrame([("k", '[{"a":[1,null,"x"]}]')], "k string, j string")
     assert json.loads(json_elements(df, "j", ["k"]).select(F.col("value")).first().value) == {"a": [1, None, "x"]}
+
+
+@settings(max_examples=300, deadline=None)
+@given(tree, st.integers(0, 60), st.sampled_from(["", "x", "]", ",", '"']))
+def test_the_scanner_agrees_with_the_parser(t, cut, tail):
+    text = json.dumps(t)
+    for x in (text, text[: len(text) - cut % (len(text) + 1)], text + tail, " " + text + " \n"):
+        try:
+            json.loads(x)
+            assert [("/".join(map(str, s)), None if o is None else "/".join(map(str, o))) for s, o, _, _ in scan(x)] == expected(x)
+            assert all(isinstance(json.loads(x[a:b]), dict) for _, _, a, b in scan(x))
+        except json.JSONDecodeError:
+            with pytest.raises(NoJson):
+                scan(x)
+
+
+ODD = ['{"a":[{"x":1}],"a":[{"y":2},{"z":3}]}', '[{"b":1,"b":2}]', '[{"x":NaN}]', '[{"z":1,"a":1.50,"m":1e5,"é":"\\u00e9"}]', '[{"x":01}]']
+
+
+def test_depth_does_not_change_what_a_record_gives(spark):
+    """A key named twice, NaN, and how numbers and keys are rendered."""
+    def rows(unrolled):
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(ODD)], "k int, j string")
+        return sorted(map(tuple, json_elements(df, "j", ["k"], unrolled).collect()), key=str)
+
+    assert rows(16) == rows(1)
+    assert [(r[0], r[1]) for r in rows(16)] == [(0, "a/0"), (0, "a/1"), (1, "0"), (3, "0")]
+
+
+@pytest.mark.parametrize("levels", [3_000, 100_000])
+def test_records_of_any_depth(spark, levels):
+    df = spark.createDataFrame([(1, "[" * levels + '{"a":1}' + "]" * levels)], "k int, j string")
+    assert [r.child_path for r in json_elements(df, "j", ["k"]).collect()] == ["/".join(["0"] * levels)]
+    if levels < 5_000:
+        text = '{"a":[' * levels + '{"z":1}' + "]}" * levels
+        got = json_elements(spark.createDataFrame([(1, text)], "k int, j string"), "j", ["k"], values=False)
+        assert got.count() == levels and got.filter("parent_path IS NULL").count() == 1
+
+
+def test_long_strings_and_what_is_no_json(spark):
+    texts = ['[{"t":"' + "x" * 2_000_000 + '"}]', '[{"t":"' + '\\"' * 200_000 + '"}]', "", " \n", '{"a":[{"x":1}', '{"a":1} extra', '{"a" 1}', '{"a":tru', '{"a":"x', "[1,]", None, "[NaN]", "5", '"s"']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, j string")
+    assert {r.k for r in json_elements(df, "j", ["k"]).collect()} == {0, 1}
+    assert {r.k: r.reason for r in json_rejects(df, "j", ["k"]).collect()} == {2: "empty", 3: "empty", 4: "cut off", 5: "trailing", 6: "syntax", 7: "cut off", 8: "cut off", 9: "syntax", 11: "syntax"}
