@@ -153,25 +153,31 @@ class Index:
         ends = np.cumsum([len(w) for w in words])
         text = np.concatenate([*words, np.full(width + 1, -2)])
         begin = (ends - [len(w) for w in words])[doc]
-        best_run, best = np.zeros(len(bands), np.int64), np.zeros(len(bands), np.int64)
+        best_run, best = np.zeros(len(bands), np.int32), np.zeros(len(bands), np.int32)
         # a column of zeros behind the cells stands for all outside
-        above = [np.zeros((len(bands), width + 1), np.int64) for _ in range(self.edits + 1)]
+        above = [np.zeros((len(bands), width + 1), np.int32) for _ in range(self.edits + 1)]
+        line = np.arange(len(bands))[:, None] * (width + 1)
         for i in range(rows):
             shift = first[i] - first[i - 1] if i else first[i]
             up = place + shift[:, None]
-            diagonal = np.where((up > 0) & (up <= width), up - 1, width)
-            up = np.minimum(up, width)
+            diagonal = line + np.where((up > 0) & (up <= width), up - 1, width)
+            up = line + np.minimum(up, width)
             within = place < (last[i] - first[i])[:, None]
             same = within & (text[np.minimum(begin + first[i], len(text) - width - 1)[:, None] + place] == own[i][:, None])
             row: list[np.ndarray] = []
+            before = None  # the cells diagonally before, with one edit less
             for e, cells in enumerate(above):
-                now = np.where(same, np.take_along_axis(cells, diagonal, 1) + 1, 0)
+                at = cells.ravel().take(diagonal)
+                new = np.zeros((len(bands), width + 1), np.int32)
+                now = new[:, :width]
+                np.multiply(at + 1, same, out=now)
                 if e:  # replaced, dropped, inserted
-                    now = np.maximum(now, np.take_along_axis(above[e - 1], diagonal, 1))
-                    now = np.maximum(now, np.take_along_axis(above[e - 1], up, 1))
-                    now[:, 1:] = np.maximum(now[:, 1:], row[e - 1][:, : width - 1])
+                    np.maximum(now, before, out=now)
+                    np.maximum(now, above[e - 1].ravel().take(up), out=now)
+                    np.maximum(now[:, 1:], row[e - 1][:, : width - 1], out=now[:, 1:])
                     now *= within
-                row.append(np.concatenate([now, np.zeros((len(bands), 1), np.int64)], 1))
+                before = at
+                row.append(new)
             above = row
             best_run, best = np.maximum(best_run, row[0].max(1)), np.maximum(best, row[-1].max(1))
         return best_run, best
