@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from ..sources.tables import table
 from . import canonical, leakage, lexicon, linkage, lookalikes, mixture, mojibake, spans, variants
 
@@ -30,10 +31,14 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return rows.filter(F.col("ref_id").isNotNull() & ~entry).select("parsed_id", "field", "ref_id").distinct()
 
 
+def _model(spark: SparkSession, folder: str):
+    """The one model of names and notes."""
+    return mojibake.fit(table(spark, folder, "talent_finder_template").select("name").unionAll(table(spark, folder, "parsed_row").select("notes")))
+
+
 def _garbled(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Garbled names of sheets and notes of parsed rows, under one model of both."""
-    sheets, rows = table(spark, folder, "talent_finder_template"), table(spark, folder, "parsed_row")
-    model = mojibake.fit(sheets.select("name").unionAll(rows.select("notes")))
+    """Garbled names of sheets and notes of parsed rows."""
+    sheets, rows, model = table(spark, folder, "talent_finder_template"), table(spark, folder, "parsed_row"), _model(spark, folder)
     return mojibake.restore(sheets, "name", ["sheet_id"], model), mojibake.restore(rows, "notes", ["parsed_id"], model)
 
 
@@ -58,9 +63,10 @@ def p5_unified(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    hits = p5_unified(spark, folder).filter(F.size("kinds") > 0).select("table_name", "record_key")
-    garbled = _garbled(spark, folder)[0].select(F.lit("talent_finder_template").alias("table_name"), F.col("sheet_id").cast("string").alias("record_key"))
-    return hits.join(garbled, ["table_name", "record_key"], "left_anti").distinct()
+    """Of the names that hold unusual characters those that are not garbled; only these are tried."""
+    hits = materialise(p5_unified(spark, folder).filter(F.size("kinds") > 0).select("table_name", "record_key", "text").distinct(), "hits")
+    garbled = mojibake.restore(hits.filter("table_name = 'talent_finder_template'"), "text", ["table_name", "record_key"], _model(spark, folder))
+    return hits.select("table_name", "record_key").join(garbled.select("table_name", "record_key"), ["table_name", "record_key"], "left_anti").distinct()
 
 
 def _roles_of(spark: SparkSession, folder: str) -> DataFrame:
