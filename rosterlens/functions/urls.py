@@ -8,24 +8,43 @@ from pyspark.sql import functions as F
 # Platforms in their order, routes that are never handles, hosts of each platform, tracking parameters.
 PLATFORMS = ["facebook", "instagram", "twitter", "youtube", "wikipedia", "imdb", "tiktok", "linkedin"]
 RESERVED = {
-    "instagram": "p reel reels explore stories tv accounts direct about developer legal privacy help",
-    "facebook": "pages groups events watch marketplace photo photo.php story.php profile.php sharer login help policies permalink.php media hashtag",
-    "twitter": "i home search explore hashtag intent share settings messages notifications compose",
-    "tiktok": "tag music discover foryou explore live legal about upload",
-    "linkedin": "feed jobs learning pulse posts help legal checkpoint authwall signup login",
-    "youtube": "watch playlist results feed shorts hashtag about redirect channel user c",
-}
+    "instagram": ["p", "reel", "reels", "explore", "stories", "tv", "accounts", "direct", "about", "developer", "legal", "privacy", "help"],
+    "facebook": ["pages", "groups", "events", "watch", "marketplace", "photo", "photo.php", "story.php", "profile.php", "sharer", "login", "help", "policies", "permalink.php", "media", "hashtag"],
+    "twitter": ["i", "home", "search", "explore", "hashtag", "intent", "share", "settings", "messages", "notifications", "compose"],
+    "tiktok": ["tag", "music", "discover", "foryou", "explore", "live", "legal", "about", "upload"],
+    "linkedin": ["feed", "jobs", "learning", "pulse", "posts", "help", "legal", "checkpoint", "authwall", "signup", "login"],
+    "youtube": ["watch", "playlist", "results", "feed", "shorts", "hashtag", "about", "redirect", "channel", "user", "c"],
+}
 HOSTS = {
-    "instagram": "instagram.com instagr.am", "facebook": "facebook.com fb.com fb.me", "twitter": "twitter.com x.com", "youtube": "youtube.com youtu.be",
-    "tiktok": "tiktok.com", "linkedin": "linkedin.com", "imdb": "imdb.com", "wikipedia": "wikipedia.org",
+    "instagram": ["instagram.com", "instagr.am"],
+    "facebook": ["facebook.com", "fb.com", "fb.me"],
+    "twitter": ["twitter.com", "x.com"],
+    "youtube": ["youtube.com", "youtu.be"],
+    "tiktok": ["tiktok.com"],
+    "linkedin": ["linkedin.com"],
+    "imdb": ["imdb.com"],
+    "wikipedia": ["wikipedia.org"],
+}
+TRACKING = ["utm_", "fb", "ig", "_r", "_t", "si", "gclid", "mc_"]
+NO_ARTICLE = ["File", "Category", "Template", "Help", "Special", "Talk"]
+NO_ITEM = [*NO_ARTICLE, "Portal", "Wikipedia", "Draft"]
+SECRETS = ["api_key", "apikey", "key", "token", "access_token"]
+AGGREGATORS = [
+    "linktr.ee", "beacons.ai", "bio.link", "allmylinks.com", "solo.to", "taplink.cc", "linkr.bio", "lnk.bio",
+    "linkin.bio", "komi.io", "hoo.be", "stan.store", "direct.me", "shorby.com", "campsite.bio", "flowcode.com",
+    "znap.link", "carrd.co", "about.me", "milkshake.app", "tap.bio", "withkoji.com",
+]
+ALLOWED = [
+    "wikidata.org", "wikipedia.org", "musicbrainz.org", "themoviedb.org", "imdb.com", "instagram.com", "facebook.com", "twitter.com", "x.com",
+    "youtube.com", "tiktok.com", "linkedin.com", "open.spotify.com", *AGGREGATORS, "serpapi.com", "omdbapi.com", "thesportsdb.com",
+    "openlibrary.org", "viaf.org", "orcid.org", "api.deezer.com", "itunes.apple.com",
+]
+#: Least seconds between two calls to a host.
+HOST_GAPS = {
+    "musicbrainz.org": 1.1, "query.wikidata.org": 1.5, "www.wikidata.org": 0.4, "api.themoviedb.org": 0.06, "serpapi.com": 0.5, "viaf.org": 0.5,
+    "openlibrary.org": 0.5, "www.thesportsdb.com": 0.5, "www.omdbapi.com": 0.2,
 }
-TRACKING = "utm_ fb ig _r _t si gclid mc_"
-NO_ARTICLE = "File Category Template Help Special Talk"
-SECRETS = "api_key apikey key token access_token"
-AGGREGATORS = (
-    "linktr.ee beacons.ai bio.link allmylinks.com solo.to taplink.cc linkr.bio lnk.bio linkin.bio komi.io hoo.be stan.store direct.me "
-    "shorby.com campsite.bio flowcode.com znap.link carrd.co about.me milkshake.app tap.bio withkoji.com"
-)
+DEFAULT_GAP = 1.0
 
 
 def let(value: Column, body) -> Column:
@@ -53,7 +72,7 @@ def _parts(a: Column) -> Column:
 
 
 def _kept_params(a: Column) -> Column:
-    banned = "|".join(TRACKING.split())
+    banned = "|".join(TRACKING)
     return F.filter(F.split(F.regexp_extract(a, r"^[^?#]*\?([^#]*)", 1), "&"), lambda p: p.rlike("=.") & ~p.rlike(f"(?i)^(?:{banned})"))
 
 
@@ -99,9 +118,9 @@ def param(kept: Column, name: str) -> Column:
     return unquote(F.regexp_replace(F.regexp_replace(got, f"^{name}=", ""), r"\+", " "))
 
 
-def on(h: Column, domains: str) -> Column:
+def on(h: Column, domains: list[str]) -> Column:
     """Whether the host is one of the domains or lies below one."""
-    return h.rlike(r"(?:^|\.)(?:" + "|".join(d.replace(".", r"\.") for d in domains.split()) + ")$")
+    return h.rlike(r"(?:^|\.)(?:" + "|".join(d.replace(".", r"\.") for d in domains) + ")$")
 
 
 def platform(url: Column) -> Column:
@@ -117,7 +136,7 @@ def _platform(h: Column) -> Column:
 
 
 def _unless_reserved(x: Column, name: str) -> Column:
-    return F.when((x != "") & ~F.lower(x).isin(RESERVED[name].split()), x)
+    return F.when((x != "") & ~F.lower(x).isin(RESERVED[name]), x)
 
 
 def classify_url(url: Column) -> Column:
@@ -141,11 +160,11 @@ def _account(s: Column) -> Column:
     no_at = F.regexp_replace(first, "^@", "")
     fb_numeric = (size >= 3) & (first == "pages") & F.try_element_at(p, F.lit(-1)).rlike("^[0-9]+$")
     yt = (
-        F.when(on(h, "youtu.be"), F.lit(None))
+        F.when(on(h, ["youtu.be"]), F.lit(None))
         .when((first == "channel") & second.isNotNull(), second)
         .when(first.isin("c", "user") & second.isNotNull(), second)
         .when(first.startswith("@"), F.nullif(F.regexp_replace(first, "^@", ""), F.lit("")))
-        .when(F.lower(first).isin(RESERVED["youtube"].split()), F.lit(None))
+        .when(F.lower(first).isin(RESERVED["youtube"]), F.lit(None))
         .when(first.rlike("^UC[0-9A-Za-z_-]{22}$"), first)
     )
     imdb = F.lower(F.nullif(F.regexp_extract(F.array_join(p, "/"), r"(?i)\b(nm\d{5,10})\b", 1), F.lit("")))
@@ -153,7 +172,7 @@ def _account(s: Column) -> Column:
     lang = F.when(sub.isin("www", "wikipedia"), F.lit("en")).otherwise(sub)
     title = F.when((first == "wiki") & (size >= 2), F.array_join(F.slice(p, 2, F.greatest(size - 1, F.lit(1))), "/")).when(first == "w", param(s["kept"], "title"))
     title = F.trim(F.regexp_replace(unquote(title), "_", " "))
-    title = F.when((title != "") & ~(F.substring_index(title, " ", 1).contains(":") & F.substring_index(title, ":", 1).isin(NO_ARTICLE.split())), title)
+    title = F.when((title != "") & ~(F.substring_index(title, " ", 1).contains(":") & F.substring_index(title, ":", 1).isin(NO_ARTICLE)), title)
     handles = {
         "instagram": (_unless_reserved(no_at, "instagram"), F.lit("handle")),
         "facebook": (
@@ -203,7 +222,7 @@ def ref_key(platform: Column, handle: Column, lang: Column) -> Column:
 
 def redact(url: Column) -> Column:
     """Values of secret parameters hidden; a bare secret key gets an equals sign."""
-    keys = "|".join(SECRETS.split())
+    keys = "|".join(SECRETS)
     out = F.regexp_replace(url, rf"(?i)(?<=[?&])({keys})=[^&]*", "$1=REDACTED")
     return F.regexp_replace(out, rf"(?i)(?<=[?&])({keys})(?=&|$)", "$1=")
 
@@ -226,11 +245,30 @@ def handle_candidates(name: Column, limit: int = 4) -> Column:
     return F.slice(F.array_distinct(F.filter(out, lambda h: F.length(h).between(3, 40))), 1, limit)
 
 
+def is_allowed(url: Column) -> Column:
+    """Whether the host may be fetched: one of ALLOWED or below one."""
+    return on(host(url), ALLOWED)
+
+
+def host_gap(h: Column) -> Column:
+    """The least seconds between two calls to a host: of the first entry it ends with."""
+    out = F.lit(DEFAULT_GAP)
+    for suffix, gap in reversed(HOST_GAPS.items()):
+        out = F.when(h.endswith(suffix), F.lit(gap)).otherwise(out)
+    return out
+
+
+def probe_urls(handle: Column) -> Column:
+    """Where a handle's page would be on each link-in-bio service; none for what cannot be a handle."""
+    pages = F.array(*[F.concat(F.lit(f"https://{d}/"), handle) for d in AGGREGATORS])
+    return F.when(handle.rlike(r"^[A-Za-z0-9._\-]{2,40}$"), pages).otherwise(F.array().cast("array<string>"))
+
+
 def wikipedia_site(url: Column) -> Column:
-    """struct(site, title) of an article's URL, null for others."""
+    """struct(site, title) of an article's URL, null for others and for pages of other namespaces."""
     h, p = host(url), parts(url)
     sub = F.substring_index(h, ".", 1)
     lang = F.regexp_replace(F.when(sub.isin("www", "wikipedia", "m"), F.lit("en")).otherwise(sub), "-", "_")
     title = F.trim(F.regexp_replace(unquote(F.array_join(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(1))), "/")), "_", " "))
-    ok = on(h, "wikipedia.org") & (F.try_element_at(p, F.lit(1)) == "wiki") & (F.size(p) >= 2) & (title != "")
-    return F.when(ok & ~F.substring_index(title, ":", 1).isin([*NO_ARTICLE.split(), "User", "Portal", "Wikipedia"]) | (ok & ~title.contains(":")), F.struct(F.concat(lang, F.lit("wiki")).alias("site"), title.alias("title")))
+    ok = h.endswith("wikipedia.org") & (F.try_element_at(p, F.lit(1)) == "wiki") & (F.size(p) >= 2) & (title != "")
+    return F.when(ok & ~F.substring_index(title, ":", 1).isin(NO_ITEM), F.struct(F.concat(lang, F.lit("wiki")).alias("site"), title.alias("title")))

@@ -18,6 +18,16 @@ def pivot_accounts(claims: DataFrame, entity: str) -> DataFrame:
     return claims.groupBy(entity).agg(*[listed(p).alias(p) for p in PLATFORMS], review.alias("needs_review"))
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """A CSV with a heading, partition by partition: no row passes the driver."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+#: The columns of the result sheet, in their order.
+COLUMNS = ["row_id", "name", "decision", "entity_id", "label", "roles", "coverage", "label_match", *PLATFORMS, "needs_review", "spoke_ids", "alternates", "notes"]
+
+
+def sheet(df: DataFrame) -> DataFrame:
+    """df as the result sheet: its columns in their order, as text, empty where there is nothing; further columns are left out."""
+    return df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in df.columns else F.lit("").alias(c) for c in COLUMNS])
+
+
+def write_csv(df: DataFrame, path: str, mark: bool = False) -> None:
+    """A CSV with a heading, partition by partition: no row passes the driver. With ``mark`` each file begins with that of UTF-8."""
+    out = df.toDF(*[("\ufeff" if mark and i == 0 else "") + c for i, c in enumerate(df.columns)])
+    out.write.mode("overwrite").option("header", True).option("escape", '"').option("encoding", "UTF-8").csv(path)

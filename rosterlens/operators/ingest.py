@@ -7,25 +7,30 @@ from pyspark.sql import functions as F
 
 # Other headings for each field, headings that may mean several fields, and words for roles.
 ALIASES = {
-    "name": "talent name,talent,full name,fullname,title,person,person name,celebrity,influencer,creator,artist,artist name,profile name,entity,entity name",
-    "role": "expected role,category,title category,occupation,profession,type,vertical,sub category,title sub category",
-    "active_year": "year,active year,release year,campaign year,reference year",
-    "country": "citizenship,nationality,market,region,country qid",
-    "context": "show,brand,campaign,programme,program,series,project,note context,source",
-    "client": "account,customer,brand set,brandset",
-    "row_id": "id,row,sr no,srno,s no,sno,index,ticket,ticket id,request id,row id",
-    "notes": "note,comment,comments,remarks",
+    "name": ["talent name", "talent", "full name", "fullname", "title", "person", "person name", "celebrity", "influencer", "creator", "artist", "artist name", "profile name", "entity", "entity name"],
+    "role": ["expected role", "category", "title category", "occupation", "profession", "type", "vertical", "sub category", "title sub category"],
+    "active_year": ["year", "active year", "release year", "campaign year", "reference year"],
+    "country": ["citizenship", "nationality", "market", "region", "country qid"],
+    "context": ["show", "brand", "campaign", "programme", "program", "series", "project", "note context", "source"],
+    "client": ["account", "customer", "brand set", "brandset"],
+    "row_id": ["id", "row", "sr no", "srno", "s no", "sno", "index", "ticket", "ticket id", "request id", "row id"],
+    "notes": ["note", "comment", "comments", "remarks"],
 }
 AMBIGUOUS = {"title": ["name", "role"], "type": ["role"], "category": ["role"]}
-BUCKETS = "actor director musician athlete creator model journalist politician writer executive comedian chef".split()
+BUCKETS = ["actor", "director", "musician", "athlete", "creator", "model", "journalist", "politician", "writer", "executive", "comedian", "chef"]
 ROLE_WORDS = {
-    "musician": "singer,music,musician/singer,composer,rapper,band", "actor": "actress,film,tv,movie", "director": "filmmaker,producer",
-    "athlete": "sports,sport,cricketer,footballer", "creator": "youtuber,streamer,influencer,content creator,digital creator", "journalist": "anchor",
-    "writer": "author", "executive": "ceo,founder",
+    "musician": ["singer", "music", "musician/singer", "composer", "rapper", "band"],
+    "actor": ["actress", "film", "tv", "movie"],
+    "director": ["filmmaker", "producer"],
+    "athlete": ["sports", "sport", "cricketer", "footballer"],
+    "creator": ["youtuber", "streamer", "influencer", "content creator", "digital creator"],
+    "journalist": ["anchor"],
+    "writer": ["author"],
+    "executive": ["ceo", "founder"],
 }
 
-_FIELD_OF = {a: f for f, names in ALIASES.items() for a in [f.replace("_", " "), *names.split(",")]}
-_ROLE_OF = {b: b for b in BUCKETS} | {w: r for r, words in ROLE_WORDS.items() for w in words.split(",")}
+_FIELD_OF = {a: f for f, names in ALIASES.items() for a in [f.replace("_", " "), *names]}
+_ROLE_OF = {b: b for b in BUCKETS} | {w: r for r, words in ROLE_WORDS.items() for w in words}
 
 
 def _lookup(table: dict[str, str]) -> Column:
@@ -74,3 +79,62 @@ def validation_summary(rows: DataFrame, by: str) -> DataFrame:
     """Rows in all, valid, with a role, with warnings, for each ``by``."""
     name = F.trim(F.coalesce("name", F.lit(""))) != ""
     return rows.groupBy(by).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(name).alias("valid"), F.count_if(name & (F.trim(F.coalesce("role", F.lit(""))) != "")).alias("with_role"), F.count_if(F.coalesce(F.size("warnings"), F.lit(0)) > 0).alias("with_warnings"))
+
+
+def map_headers(header: Column) -> Column:
+    """The field each heading of a sheet stands for, null where it is none or its field is taken.
+
+    Headings that can mean one field claim it first, the first of several; those that may mean several then take the first
+    of these that is left, in their order.
+    """
+    normal = F.transform(header, lambda h: norm_header(h))
+    loose = F.transform(header, lambda h: canon_header(h))
+    own = F.transform(normal, lambda h: h.isin(*AMBIGUOUS))
+    sure = F.transform(loose, lambda f, i: F.when(~F.get(own, i), f))
+    first = F.transform(sure, lambda f, i: F.when(F.array_position(sure, f) == i + 1, f))
+    meant = F.create_map(*[x for k, v in AMBIGUOUS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+
+    def step(acc: Column, x: Column) -> Column:
+        free = F.filter(F.when(F.get(own, x), meant[F.get(normal, x)]), lambda f: ~F.array_contains(acc["claimed"], f))
+        took = F.coalesce(F.get(first, x), F.get(free, F.lit(0)))
+        return F.struct(F.array_append(acc["fields"], took).alias("fields"), F.when(took.isNull(), acc["claimed"]).otherwise(F.array_append(acc["claimed"], took)).alias("claimed"))
+
+    start = F.struct(F.array().cast("array<string>").alias("fields"), F.array_compact(first).alias("claimed"))
+    places = F.when(F.size(header) > 0, F.sequence(F.lit(0), F.size(header) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(places, start, step, lambda acc: acc["fields"])
+
+
+def header_score(cells: Column) -> Column:
+    """Number of fields that the cells of a row name outright."""
+    return F.size(F.array_compact(F.array_distinct(F.transform(cells, lambda c: canon_header(c, strict=True)))))
+
+
+def header_rows(rows: DataFrame, sheet: str, row: str, cells: str, within: int = 15) -> DataFrame:
+    """(sheet, row) of each sheet's heading: of its first rows with a name column the one that names most fields, the first of equals.
+
+    Where no row names a name outright, the first whose headings hold one counts.
+    """
+    head = rows.filter(F.col(row) <= within)
+    strict = F.exists(cells, lambda c: canon_header(c, strict=True).eqNullSafe(F.lit("name")))
+    loose = F.exists(cells, lambda c: canon_header(c).eqNullSafe(F.lit("name")))
+    told = head.select(sheet, row, F.when(strict, 2).when(loose, 1).alias("kind"), F.when(strict, header_score(F.col(cells))).otherwise(0).alias("score")).filter("kind IS NOT NULL")
+    return told.groupBy(sheet).agg(F.max_by(row, F.struct("kind", "score", -F.col(row))).alias(row))
+
+
+def quoted(s: Column) -> Column:
+    """A text in quotes: single ones, or double ones where it holds single ones only."""
+    inner = F.replace(F.replace(s, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
+    plain = ~s.contains("'") | s.contains('"')
+    return F.when(plain, F.concat(F.lit("'"), F.replace(inner, F.lit("'"), F.lit("\\'")), F.lit("'"))).otherwise(F.concat(F.lit('"'), inner, F.lit('"')))
+
+
+def row_warnings(role: Column, year: Column, name: Column) -> Column:
+    """What is to be said of a row: an unknown role, a year that is none, a missing name."""
+    r, y = F.trim(F.coalesce(role, F.lit(""))), F.trim(F.coalesce(year, F.lit("")))
+    return F.array_compact(
+        F.array(
+            F.when((squeezed(r) != "") & canon_role(r).isNull(), F.concat(F.lit("unrecognised role "), quoted(r), F.lit(" - treated as unknown"))),
+            F.when((y != "") & coerce_year(y).isNull(), F.concat(F.lit("ignored active_year "), quoted(y))),
+            F.when(F.trim(F.coalesce(name, F.lit(""))) == "", F.lit("empty name - skipped")),
+        )
+    )

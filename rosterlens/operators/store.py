@@ -29,11 +29,11 @@ def collisions(df: DataFrame, name: str, role_array: str) -> DataFrame:
     return n.join(roles, name)
 
 
-def gaps(df: DataFrame, by: str, stamp: str, least_seconds: float) -> DataFrame:
-    """Rows that follow the one before them in their group sooner than allowed, with the seconds between."""
-    w = Window.partitionBy(by).orderBy(stamp)
-    gap = (F.unix_micros(F.col(stamp)) - F.unix_micros(F.lag(stamp).over(w))) / 1e6
-    return df.withColumn("gap", gap).filter(F.col("gap") < least_seconds)
+def gaps(df: DataFrame, by: str, order: list[str], least_seconds: Column) -> DataFrame:
+    """Rows that follow the one before them in their group sooner than allowed, with the seconds between; the first of order is the time."""
+    w = Window.partitionBy(by).orderBy(*order)
+    micros = F.unix_micros(F.col(order[0]))
+    return df.withColumn("gap", (micros - F.lag(micros).over(w)) / 1e6).filter(F.col("gap") < least_seconds)
 
 
 def fallback(stages: list[DataFrame], key: str) -> DataFrame:

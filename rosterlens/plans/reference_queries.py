@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import extract, names, urls
@@ -75,17 +75,6 @@ def decision_counts(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "handle").groupBy("platform", "verdict").agg(F.count_distinct("handle_id").alias("n"))
 
 
-@query("""
-WITH l AS (SELECT user_id, event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events),
-o AS (SELECT DISTINCT user_id, src, dst FROM l WHERE src <> dst)
-SELECT a.user_id, a.src, a.dst FROM o a JOIN o b ON a.user_id = b.user_id AND a.src = b.dst AND a.dst = b.src""")
-def mutual_links(spark: SparkSession, folder: str) -> DataFrame:
-    ev = table(spark, folder, "events")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    links = ev.select("user_id", F.col("event_type").alias("src"), F.lead("event_type").over(w).alias("dst"))
-    return evidence.back_links(links, ev.select("user_id", F.col("event_type").alias("key")), "user_id")
-
-
 @query("""
 SELECT entity_id, 'account' AS kind, platform AS key, handle AS value FROM (SELECT DISTINCT entity_id, platform, handle FROM handle WHERE verdict = 'accept')
 UNION ALL
@@ -138,16 +127,23 @@ _SHAPES = [
     ("'https://www.imdb.com/name/NM' || (1000000 + handle_id) || '/?ref_=x'", "'imdb'", "'nm' || (1000000 + handle_id)", "'nm_id'"),
     ("'https://netflix.com/' || handle", "NULL", "NULL", "NULL"),
     ("'https://hi.wikipedia.org/wiki/Category:' || handle", "NULL", "NULL", "NULL"),
+    ("'https://hi.m.wikipedia.org/wiki/' || handle || '/x%20y'", "'wikipedia'", "replace(handle, '_', ' ') || '/x y'", "'page_title'"),
+    ("'https://www.wikipedia.org/w?title=' || handle || '&oldid=1'", "'wikipedia'", "replace(handle, '_', ' ')", "'page_title'"),
+    ("'https://www.facebook.com/pages/' || handle || '/' || handle_id", "'facebook'", "CAST(handle_id AS {s})", "'numeric_id'"),
+    ("'https://www.linkedin.com/school/' || handle || '/about'", "'linkedin'", "handle", "'company'"),
+    ("'http://youtube.com/user/' || handle || '#x'", "'youtube'", "handle", "'handle'"),
+    ("'https://www.youtube.com/channel/UC' || lpad(CAST(handle_id AS {s}), 22, '0')", "'youtube'", "'UC' || lpad(CAST(handle_id AS {s}), 22, '0')", "'channel_id'"),
+    ("'mobile.youtube.com/UC' || lpad(CAST(handle_id AS {s}), 22, 'x')", "'youtube'", "'UC' || lpad(CAST(handle_id AS {s}), 22, 'x')", "'channel_id'"),
 ]
 
 
 def _case(column: int, string: str) -> str:
-    return "CASE handle_id % 16 " + " ".join(f"WHEN {i} THEN {s[column].format(s=string)}" for i, s in enumerate(_SHAPES)) + " END"
+    return f"CASE handle_id % {len(_SHAPES)} " + " ".join(f"WHEN {i} THEN {s[column].format(s=string)}" for i, s in enumerate(_SHAPES)) + " END"
 
 
-@query(f"SELECT handle_id, platform, acct AS handle, id_kind FROM (SELECT DISTINCT handle_id, {_case(1, 'VARCHAR')} AS platform, {_case(2, 'VARCHAR')} AS acct, {_case(3, 'VARCHAR')} AS id_kind FROM handle WHERE regexp_full_match(handle, '[A-Za-z0-9_.]+'))")
+@query(f"SELECT handle_id, platform, acct AS handle, id_kind FROM (SELECT DISTINCT handle_id, {_case(1, 'VARCHAR')} AS platform, {_case(2, 'VARCHAR')} AS acct, {_case(3, 'VARCHAR')} AS id_kind FROM handle)")
 def classify_urls(spark: SparkSession, folder: str) -> DataFrame:
-    h = table(spark, folder, "handle").filter(F.col("handle").rlike("^[A-Za-z0-9_.]+$")).select("handle_id", F.expr(_case(0, "STRING")).alias("url")).distinct()
+    h = table(spark, folder, "handle").select("handle_id", F.expr(_case(0, "STRING")).alias("url")).distinct()
     return h.select("handle_id", urls.classify_url(F.col("url")).alias("ref")).select("handle_id", "ref.platform", "ref.handle", "ref.id_kind")
 
 
@@ -183,7 +179,7 @@ def redact_urls(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "http_cache").select("url_hash", urls.redact(u).alias("url"), urls.cache_key(F.col("url")).alias("cache_key")).distinct()
 
 
-_SERVICES = urls.AGGREGATORS.split()
+_SERVICES = urls.AGGREGATORS
 _HOST = "CASE handle_id % 4 WHEN 0 THEN 'https://www.' || d || '/' || handle WHEN 1 THEN 'https://' || handle_id || '.' || d WHEN 2 THEN 'https://not' || d || '/x' ELSE 'https://' || d || '.example/' END"
 
 
@@ -194,10 +190,10 @@ def aggregator_hosts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""WITH c AS (SELECT DISTINCT url_hash, body FROM http_cache WHERE kind = 'text' AND body IS NOT NULL),
-l AS (SELECT url_hash, list_distinct(regexp_extract_all(body, '(?i)href=["''](https?://[^"''<>\\s]+)["'']', 1)) AS l FROM c WHERE NOT contains(lower(body), '<script'))
+l AS (SELECT url_hash, list_distinct(regexp_extract_all(body, '(?i)href=["''](https?://[^"''<>\\s]+)["'']', 1)) AS l FROM c)
 SELECT url_hash, unnest(l) AS link FROM l""")
 def extract_links(spark: SparkSession, folder: str) -> DataFrame:
-    pages = table(spark, folder, "http_cache").filter("kind = 'text' AND body IS NOT NULL AND NOT contains(lower(body), '<script')").select("url_hash", "body").distinct()
+    pages = table(spark, folder, "http_cache").filter("kind = 'text' AND body IS NOT NULL").select("url_hash", "body").distinct()
     return pages.select("url_hash", F.explode(extract.extract_links(F.col("body"))).alias("link"))
 
 
@@ -207,10 +203,11 @@ def page_words(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""WITH c AS (SELECT DISTINCT url_hash, body FROM http_cache WHERE kind = 'json' AND json_valid(body))
-SELECT url_hash, count(*) AS n_strings FROM c, json_tree(body) t WHERE t.type = 'VARCHAR' GROUP BY 1""")
+SELECT url_hash, count(*) AS n_strings, string_agg(t.atom->>'$', chr(10) ORDER BY t.id) AS strings FROM c, json_tree(body) t WHERE t.type = 'VARCHAR' GROUP BY 1""")
 def json_string_leaves(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "http_cache").filter("kind = 'json' AND body IS NOT NULL").select("url_hash", "body").distinct()
-    return pages.select("url_hash", F.size(extract.json_strings(F.col("body"))).cast("bigint").alias("n_strings")).filter("n_strings > 0")
+    told = pages.select("url_hash", extract.json_strings(F.col("body")).alias("s")).filter("size(s) > 0")
+    return told.select("url_hash", F.size("s").cast("bigint").alias("n_strings"), F.array_join("s", "\n").alias("strings"))
 
 
 @query("""WITH c AS (SELECT DISTINCT url_hash, CAST(body AS JSON) AS j FROM http_cache WHERE kind = 'json' AND json_valid(body) AND json_exists(body, '$.entities')),
@@ -233,7 +230,7 @@ def fetch_stats(spark: SparkSession, folder: str) -> DataFrame:
 # -- names -------------------------------------------------------------------------------------------------------------
 
 _NORMAL = r"""regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(replace(lower({x}), '&', ' and '), '([a-z])[.]', '\1 ', 'g'), '[^\p{{L}}\p{{N}}_\t\n\f\r ]+', ' ', 'g'), '[\t\n\f\r ]+', ' ', 'g')),
-  '^(?:(?:""" + "|".join(names.HONORIFICS.split()) + r""")(?: |$))+', ''), '(?:(?:^| )(?:""" + "|".join(names.SUFFIXES.split()) + r"""))+$', '')"""
+  '^(?:(?:""" + "|".join(names.HONORIFICS) + r""")(?: |$))+', ''), '(?:(?:^| )(?:""" + "|".join(names.SUFFIXES) + r"""))+$', '')"""
 _INITIALS = "CASE WHEN len(string_split({n}, ' ')) > 1 THEN array_to_string(list_concat([x[1:1] for x in string_split({n}, ' ')[:-2]], string_split({n}, ' ')[-1:]), ' ') ELSE {n} END"
 
 
@@ -288,58 +285,58 @@ r AS (SELECT intake_id, entity_id, label_score, round(base + (label_score - 1) *
 """
 
 
-def _scored(spark: SparkSession, folder: str, marks: bool = False) -> DataFrame:
-    """Scored pairs; without marks stripped they are those SQL can tell."""
+def _scored(spark: SparkSession, folder: str, full: bool = True) -> DataFrame:
+    """Scored pairs; if not full, those SQL can tell: marks are left in names, which meet by normal and initials forms only."""
     i = table(spark, folder, "intake").select("intake_id", "name", F.col("expected_role").alias("role"), "country", F.col("active_year").alias("year")).filter("name IS NOT NULL")
     c = table(spark, folder, "candidate").select("entity_id", "label", "roles", "citizenship", "birth_year", "death_year", "external_ids").filter("label IS NOT NULL")
     c = c.dropDuplicates(["entity_id"])
-    pairs = resolve.recall(i, "intake_id", "name", c, "entity_id", "label", marks=marks)
-    return resolve.scored(pairs, i, c, "intake_id", "entity_id", "name", "label", marks=marks)
+    pairs = resolve.recall(i, "intake_id", "name", c, "entity_id", "label", marks=full, every=full)
+    return resolve.scored(pairs, i, c, "intake_id", "entity_id", "name", "label", marks=full)
 
 
-@query(_PAIRS_SQL + "SELECT intake_id, entity_id, label_score, role_score FROM r")
+@query()
 def role_scores(spark: SparkSession, folder: str) -> DataFrame:
-    return _scored(spark, folder).select("intake_id", "entity_id", "label_score", "role_score")
+    """The whole of it, as are the next three: every spelling, marks stripped, all tiers of agreement; a test by brute force holds the values."""
+    return _scored(spark, folder).select("intake_id", "entity_id", "label_score", "how", "role_score")
 
 
-@query(_PAIRS_SQL + """, w AS (SELECT *, row_number() OVER (PARTITION BY intake_id ORDER BY role_score DESC, entity_id) AS k, count(*) OVER (PARTITION BY intake_id) AS n, lead(role_score) OVER (PARTITION BY intake_id ORDER BY role_score DESC, entity_id) AS nxt FROM r)
-SELECT intake_id, n, entity_id AS top, role_score AS top_score, round(role_score - nxt, 3) AS gap,
-  CASE WHEN n = 1 THEN 'resolved' WHEN role_score <= 0 THEN 'disambiguate' WHEN round(role_score - nxt, 3) >= 0.25 THEN 'resolved' ELSE 'disambiguate' END AS decision FROM w WHERE k = 1""")
+@query()
 def rank_margin(spark: SparkSession, folder: str) -> DataFrame:
     return ranking.rank(_scored(spark, folder), "intake_id", "role_score", "entity_id")
 
 
-@query(_PAIRS_SQL + "SELECT intake_id, entity_id, k AS card FROM (SELECT *, row_number() OVER (PARTITION BY intake_id ORDER BY role_score DESC, entity_id) AS k FROM r) WHERE k <= 6")
+@query()
 def disambiguation_cards(spark: SparkSession, folder: str) -> DataFrame:
     return ranking.top_k(_scored(spark, folder), ["intake_id"], [F.desc("role_score"), F.col("entity_id")], 6, "card").select("intake_id", "entity_id", "card")
 
 
-@query(_PAIRS_SQL + "SELECT intake_id FROM i WHERE intake_id NOT IN (SELECT intake_id FROM r)")
+@query()
 def unmatched_intakes(spark: SparkSession, folder: str) -> DataFrame:
     i = table(spark, folder, "intake").filter("name IS NOT NULL").select("intake_id").distinct()
     return i.join(_scored(spark, folder), "intake_id", "left_anti")
 
 
-@query()
-def stripped_role_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """role_scores with marks stripped from names first, as are the next three (NFKD has no SQL equivalent; a test by brute force holds the values)."""
-    return _scored(spark, folder, marks=True).select("intake_id", "entity_id", "label_score", "role_score")
+@query(_PAIRS_SQL + "SELECT intake_id, entity_id, label_score, role_score FROM r")
+def plain_role_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return _scored(spark, folder, False).select("intake_id", "entity_id", "label_score", "role_score")
 
 
-@query()
-def stripped_rank_margin(spark: SparkSession, folder: str) -> DataFrame:
-    return ranking.rank(_scored(spark, folder, marks=True), "intake_id", "role_score", "entity_id")
+@query(_PAIRS_SQL + """, w AS (SELECT *, row_number() OVER (PARTITION BY intake_id ORDER BY role_score DESC, entity_id) AS k, count(*) OVER (PARTITION BY intake_id) AS n, lead(role_score) OVER (PARTITION BY intake_id ORDER BY role_score DESC, entity_id) AS nxt FROM r)
+SELECT intake_id, n, entity_id AS top, role_score AS top_score, round(role_score - nxt, 3) AS gap,
+  CASE WHEN n = 1 THEN 'resolved' WHEN role_score <= 0 THEN 'disambiguate' WHEN round(role_score - nxt, 3) >= 0.25 THEN 'resolved' ELSE 'disambiguate' END AS decision FROM w WHERE k = 1""")
+def plain_rank_margin(spark: SparkSession, folder: str) -> DataFrame:
+    return ranking.rank(_scored(spark, folder, False), "intake_id", "role_score", "entity_id")
 
 
-@query()
-def stripped_cards(spark: SparkSession, folder: str) -> DataFrame:
-    return ranking.top_k(_scored(spark, folder, marks=True), ["intake_id"], [F.desc("role_score"), F.col("entity_id")], 6, "card").select("intake_id", "entity_id", "card")
+@query(_PAIRS_SQL + "SELECT intake_id, entity_id, k AS card FROM (SELECT *, row_number() OVER (PARTITION BY intake_id ORDER BY role_score DESC, entity_id) AS k FROM r) WHERE k <= 6")
+def plain_cards(spark: SparkSession, folder: str) -> DataFrame:
+    return ranking.top_k(_scored(spark, folder, False), ["intake_id"], [F.desc("role_score"), F.col("entity_id")], 6, "card").select("intake_id", "entity_id", "card")
 
 
-@query()
-def stripped_unmatched(spark: SparkSession, folder: str) -> DataFrame:
+@query(_PAIRS_SQL + "SELECT intake_id FROM i WHERE intake_id NOT IN (SELECT intake_id FROM r)")
+def plain_unmatched(spark: SparkSession, folder: str) -> DataFrame:
     i = table(spark, folder, "intake").filter("name IS NOT NULL").select("intake_id").distinct()
-    return i.join(_scored(spark, folder, marks=True), "intake_id", "left_anti")
+    return i.join(_scored(spark, folder, False), "intake_id", "left_anti")
 
 
 @query("""WITH c AS (SELECT DISTINCT ON (entity_id) entity_id, label, roles FROM candidate WHERE label IS NOT NULL),
@@ -356,11 +353,6 @@ def role_lookup(spark: SparkSession, folder: str) -> DataFrame:
     return o.join(F.broadcast(dim), "occupation").groupBy("entity_id").agg(F.array_join(F.sort_array(F.collect_set("bucket")), ",").alias("roles"))
 
 
-@query("""SELECT s_nationkey, s_suppkey, k FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS k FROM supplier) WHERE k <= 6""")
-def popularity_rank(spark: SparkSession, folder: str) -> DataFrame:
-    return ranking.top_k(table(spark, folder, "supplier"), ["s_nationkey"], [F.desc("s_acctbal"), F.col("s_suppkey")], 6, "k").select("s_nationkey", "s_suppkey", "k")
-
-
 @query("""SELECT entity_id, platform, handle FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY CASE platform WHEN 'instagram' THEN 0 WHEN 'twitter' THEN 1 WHEN 'youtube' THEN 2 ELSE 3 END, handle_id) AS k
   FROM handle WHERE platform IN ('instagram', 'twitter', 'youtube', 'tiktok')) WHERE k = 1""")
 def seed_choice(spark: SparkSession, folder: str) -> DataFrame:
@@ -429,13 +421,6 @@ def cache_ttl(spark: SparkSession, folder: str) -> DataFrame:
     return cached(c, F.lit("2025-07-01 00:00:00").cast("timestamp_ntz").cast("timestamp"), 90 * 86400).select("url_hash", "kind", "status")
 
 
-@query("""SELECT event_id, user_id FROM (SELECT *, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS gap FROM events) WHERE gap < 3600000000""")
-def throttle_violations(spark: SparkSession, folder: str) -> DataFrame:
-    e = table(spark, folder, "events")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return e.withColumn("gap", F.unix_micros(F.col("ts").cast("timestamp")) - F.lag(F.unix_micros(F.col("ts").cast("timestamp"))).over(w)).filter("gap < 3600000000").select("event_id", "user_id")
-
-
 @query("SELECT event_type, date_trunc('day', ts) AS day, count(*) AS n FROM events GROUP BY 1, 2")
 def daily_counts(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "events")

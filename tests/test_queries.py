@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 
 DATA = Path("/root/testdata/sf0.001")
-CORE = [n for n in entry.oracle_sql() if n in entry.core_queries.queries() or n in entry.reference_queries.queries()]
+CORE = [n for n in entry.oracle_sql() if any(n in m.queries() for m in (entry.core_queries, entry.reference_queries, entry.resolution_queries))]
 
 
 @pytest.fixture(scope="module")

@@ -39,7 +39,7 @@ def test_normalize(spark, raw, normal):
 def test_names(spark):
     row = spark.sql("SELECT 'allah rakha rahman' a, 'Алла Пугачёва' b, 'शाहरुख़ ख़ान' c, 'マイケル・ジャクソン' d, 'Cash Cobain' e")
     got = row.select(names.initials_form(F.col("a")), names.script_of(F.col("b")), names.script_of(F.col("c")), names.search_languages(F.col("c")), names.script_of(F.col("d")), urls.handle_candidates(F.col("e"))).first()
-    assert got[:3] == ("a r rahman", "cyrillic", "devanagari") and got[3] == ["hi", "mr", "ne", "en"] and got[4] == "katakana"
+    assert got[:3] == ("a r rahman", "cyrillic", "devanagari") and got[3] == ["hi", "mr", "ne", "sa", "en"] and got[4] == "katakana"
     assert got[5] == ["cashcobain", "cash_cobain", "cashcobainmusic"]
 
 
