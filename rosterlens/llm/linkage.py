@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -35,24 +35,29 @@ def _cleaned(texts: pa.Array, restorer: mojibake.Restorer | None) -> list[str]:
 
 
 def common_words(*names: DataFrame) -> dict[str, int]:
-    """Words in at least COMMON_SHARE of all names, with their number of names; each df has one string column."""
+    """Given names: words in at least COMMON_SHARE of all names, with their number of names, that lead a name more often than they end one.
+
+    Each df has one string column; names of one word, and initials, tell nothing of the order.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
+        first: Counter = Counter()
         for batch in batches:
             for name in _cleaned(batch.column(0), None):
-                words = {w for w in person_names.tokens(name)[0] if len(w) > 1}
-                found.update(words)
+                words = [w for w in person_names.tokens(name)[0] if len(w) > 1]
+                found.update(set(words))
                 found[""] += bool(words)
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
+                if len(words) > 1:
+                    first[words[0]] += 1
+                    first[words[-1]] -= 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64()), pa.array([first[w] for w in found], pa.int64())], names=["word", "n", "lead"])
 
-    every = names[0].toDF("name")
-    for x in names[1:]:
-        every = every.unionAll(x.toDF("name"))
-    words = every.mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    total = words.filter("word = ''").select(F.col("n").alias("total"))
-    kept = words.crossJoin(F.broadcast(total)).filter((F.col("word") != "") & (F.col("n") >= F.greatest(F.lit(3), F.col("total") * COMMON_SHARE)))  # total is one row
-    return {r.word: r.n for r in kept.collect()}
+    every = reduce(DataFrame.unionAll, [x.toDF("name") for x in names])
+    words = materialise(every.mapInArrow(count, "word string, n bigint, lead bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("lead").alias("lead")), "words")
+    total = words.filter("word = ''").first()
+    least = max(3, total.n * COMMON_SHARE) if total else 3
+    return {r.word: r.n for r in words.filter((F.col("word") != "") & (F.col("n") >= least) & (F.col("lead") >= 0)).collect()}
 
 
 @lru_cache(2)
@@ -248,15 +253,52 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, names: li
     return ratio(), p
 
 
-def chance_levels(a: DataFrame, b: DataFrame, pairs: int = 50_000) -> dict[str, np.ndarray]:
-    """Numbers of pairs by level of role, country and year, among some ``pairs`` profiles (pa of a, pb of b) put together at random."""
-    n, m = a.count(), b.count()
-    spread = max(1, n * m // pairs)  # each row draws a number below this, and equal numbers make a pair
-    x = a.select("pa", F.pmod(F.xxhash64("__a", F.lit(1)), F.lit(spread)).alias("draw"))
-    y = b.select("pb", F.pmod(F.xxhash64("__b", F.lit(2)), F.lit(spread)).alias("draw"))
-    facts = compare_facts(*[F.col(f"pa.{c}") for c in ("occupation", "bucket", "country", "year")], {f: F.col(f"pb.{f}") for f in FACTS})
-    got = x.join(y, "draw").select(*[c.cast("int").alias(k) for k, c in facts.items()]).groupBy(*facts).count().toPandas()
-    return {k: np.bincount(got[k], got["count"], LEVELS[k]).astype(float) for k in facts} if len(got) else {}
+def chance_levels(a: DataFrame, b: DataFrame) -> dict[str, np.ndarray]:
+    """Numbers of pairs by level of role, country and year, if every profile of a (pa) met every profile of b (pb).
+
+    No pair is made: how many profiles state what is counted on either side, and the counts are multiplied.
+    """
+    own = lambda c: F.when(_known(c), c).otherwise(F.array(F.lit(None).cast("string")))
+    said = a.groupBy("pa.occupation", "pa.bucket").count().toPandas()  # entries of a list
+    lands, years = a.groupBy("pa.country").count().toPandas(), a.groupBy("pa.year").count().toPandas()
+    facts = b.select("pb.*", (_known(F.col("pb.occupations")) | _known(F.col("pb.roles"))).alias("role_known"))
+    known = facts.agg(F.count(F.lit(1)).alias("n"), F.count_if("role_known").alias("role"), F.count_if(_known(F.col("citizenship"))).alias("country")).first()
+    if not len(said) or not known.n:
+        return {}
+    # of each pair of an occupation and a bucket: how many state both, either
+    both = facts.filter("role_known").select(F.explode(F.array_distinct(own(F.col("occupations")))).alias("o"), F.array_distinct(own(F.col("roles"))).alias("roles")).select("o", F.explode("roles").alias("b")).groupBy("o", "b").count().toPandas()
+    alone = {c: dict(facts.select(F.explode(F.array_distinct(own(F.col(c)))).alias("x")).groupBy("x").count().toPandas().to_numpy().tolist()) for c in ("occupations", "roles", "citizenship")}
+    pairs = {(o, x): n for o, x, n in both.to_numpy().tolist()}
+
+    role = np.zeros(LEVELS["role"])
+    for o, x, n in said.astype(object).where(said.notna(), None).to_numpy().tolist():
+        if o is None and x is None:
+            role[2] += n * known.n
+            continue
+        exact = alone["occupations"].get(o, 0) if o is not None else 0
+        near = (alone["roles"].get(x, 0) if x is not None else 0) - (pairs.get((o, x), 0) if o is not None and x is not None else 0)
+        role += n * np.array([exact, near, known.n - known.role, known.role - exact - near])
+    country = np.zeros(LEVELS["country"])
+    for c, n in lands.astype(object).where(lands.notna(), None).to_numpy().tolist():
+        same = alone["citizenship"].get(c, 0) if c is not None else 0
+        country += n * np.array([same, known.n - known.country, known.country - same] if c is not None else [0, known.n, 0])
+    lives = facts.groupBy("birth_year", "death_year").count()  # pairs of years
+    stated = _year_levels(lives, years)
+    return {"role": role, "country": country, "year": stated}
+
+
+def _year_levels(lives: DataFrame, years: pd.DataFrame) -> np.ndarray:
+    """Numbers of pairs by level of year, of counted years of life and counted years asked for."""
+    out = np.zeros(LEVELS["year"])
+    held = lives.toPandas()
+    birth, death, n = (held[c].to_numpy(float) for c in ("birth_year", "death_year", "count"))
+    for y, k in years.to_numpy(float).tolist():
+        age = y - birth
+        with np.errstate(invalid="ignore"):
+            apart = (y > death + 1) | (~np.isnan(age) & ~((age >= 11) & (age <= 91)))
+            level = np.where(np.isnan(y) | (np.isnan(birth) & np.isnan(death)), 2, np.where(apart, 3, np.where((age >= 17) & (age <= 71), 0, np.where(np.isnan(age), 2, 1))))
+        out += k * np.bincount(level, n, LEVELS["year"])
+    return out
 
 
 def scored(pairs: DataFrame, names: list[str], chance: dict[str, np.ndarray]) -> DataFrame:
@@ -336,11 +378,12 @@ def link(requests: DataFrame, candidates: DataFrame, request: str, record: str)
     empty.
     """
     requests, candidates, a, b = profiles(requests, candidates, request, record)
-    left = a.withColumn("key", F.explode(block_keys(F.col("pa.given"), F.col("pa.surname"))))
-    left = left.filter(~F.col("key").startswith("only|") | (F.col("pa.given") == ""))
-    right = b.withColumn("key", F.explode(block_keys(F.col("pb.given"), F.col("pb.surname"))))
-    right = right.filter(~F.col("key").startswith("none|") | (F.col("pb.given") == ""))
-    pairs = left.join(right, "key").groupBy("__a", "__b").agg(F.first("pa").alias("pa"), F.first("pb").alias("pb"))
+    # keys and ids alone are shuffled; what they stand for is joined to the pairs that are left
+    left = a.select("__a", F.col("pa.given").alias("given"), F.explode(block_keys(F.col("pa.given"), F.col("pa.surname"))).alias("key"))
+    left = left.filter(~F.col("key").startswith("only|") | (F.col("given") == "")).select("__a", "key")
+    right = b.select("__b", F.col("pb.given").alias("given"), F.explode(block_keys(F.col("pb.given"), F.col("pb.surname"))).alias("key"))
+    right = right.filter(~F.col("key").startswith("none|") | (F.col("given") == "")).select("__b", "key")
+    pairs = left.join(right, "key").select("__a", "__b").distinct().join(a, "__a").join(b, "__b")
     return matches(pairs, requests, candidates, a, b, request, record)
 
 

@@ -121,7 +121,7 @@ def unify_array(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     # the script of a name is that of most of its letters that have no look-alike, or, if there are none, of most letters
     to_latin, to_cyrillic = t["to_latin"][low], t["to_cyrillic"][low]
     sure = np.where(script == 1, to_cyrillic == low, np.where((script == 2) | (script == 3), to_latin == low, script > 0))
-    counts = np.stack([_sums((script == s) & sure, bounds) * 1024 + np.minimum(_sums(script == s, bounds), 1023) for s in range(1, 5)])
+    counts = np.stack([(_sums((script == s) & sure, bounds) << 32) + _sums(script == s, bounds) for s in range(1, 5)])
     home = np.where(counts.max(0) > 0, counts.argmax(0) + 1, 0)[row] if len(row) else np.zeros(0, np.int64)
     swap = np.where((home == 1) & ((script == 2) | (script == 3)), to_latin, np.where((home == 2) & (script == 1), to_cyrillic, low))
     swap = np.where(cps < LIMIT, swap, cps)
