@@ -69,7 +69,7 @@ def _parser(common: tuple[tuple[str, int], ...]) -> person_names.Parser:
 def parse_names(df: DataFrame, key: str, text: str, common: dict[str, int], model=None) -> DataFrame:
     """key, ``name`` (as it is), ``given``, ``surname``, ``middle``; rows without a surname are left out."""
     src = df.select(F.col(key), F.col(text).alias("name")).filter(F.col("name").isNotNull())
-    shared = mojibake._Shared(src.sparkSession.sparkContext.broadcast(model[0])) if model else None
+    shared = model.shared if model else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = _parser(tuple(common.items()))
