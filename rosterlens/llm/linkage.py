@@ -398,8 +398,10 @@ def profiles(requests: DataFrame, candidates: DataFrame, request: str, record: s
 
 def matches(pairs: DataFrame, requests: DataFrame, candidates: DataFrame, a: DataFrame, b: DataFrame, request: str, record: str) -> DataFrame:
     """From pairs of profiles (__a, pa, __b, pb) to pairs of rows that match."""
-    pairs = materialise(compared(pairs, F.col("pa"), F.col("pb")).select("__a", "__b", *LEVELS), "pairs")  # all that met: EM learns from those that disagree too
-    told = scored(pairs, list(LEVELS), chance_levels(a, b)).filter((F.col("surname") < 3) & (F.col("given") < 3)).select("__a", "__b", "odds")
+    # non-matches are namesakes: their chances are learnt from pairs whose names agree, not from those any two names would make
+    pairs = compared(pairs, F.col("pa"), F.col("pb")).filter((F.col("surname") < 3) & (F.col("given") < 3))
+    pairs = materialise(pairs.select("__a", "__b", *LEVELS), "pairs")
+    told = scored(pairs, list(LEVELS), chance_levels(a, b)).select("__a", "__b", "odds")
     told = told.join(b.select("__b", F.struct(*[F.col(f"pb.{c}").alias(c) for c in (*FACTS, "middle")]).alias("facts")), "__b")
     matched = decide(candidates.select(record, "__b").join(told, "__b"), "__a", record)  # by profile of request
     return requests.select(request, "__a").join(matched, "__a").select(request, record, "confidence")
