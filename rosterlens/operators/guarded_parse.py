@@ -9,6 +9,7 @@ a look at all records of a block tells of their quotes and delimiters spares the
 from __future__ import annotations
 
 import io
+import json
 import re
 from collections.abc import Iterator
 
@@ -168,39 +169,42 @@ def _parse(keys: list[str], schema: T.StructType):
         for batch in batches:
             n, k = batch.num_rows, len(keys)
             raws = pc.fill_null(batch.column(k), "")
-            delimiters = [d or "," for d in batch.column(k + 1).to_pylist()]
-            headers, maps = batch.column(k + 2).to_pylist(), batch.column(k + 3).to_pylist()
             reason: list = [None] * n
             detail: list = [None] * n
-            values: dict[str, np.ndarray] = {f: np.full(n, None, object) for f in FIELDS}
-            # records of one dialect and one order of fields make one run of blocks, whatever files they come from
-            groups: dict[tuple, list[int]] = {}
-            for i in range(n):
-                if headers[i] is None:
-                    reason[i], detail[i] = "file", "its file or the file's heading is unknown"
+            # pieces of the result: which records, and their fields as far as their dialect has them
+            pieces: list[tuple[np.ndarray, dict[str, pa.Array]]] = []
+            dialects = batch.column(k + 1).dictionary_encode()
+            codes = pc.fill_null(dialects.indices, -1).to_numpy()
+            for code in np.unique(codes).tolist():
+                at = np.flatnonzero(codes == code)
+                if code < 0:
+                    for i in at.tolist():
+                        reason[i], detail[i] = "file", "its file or the file's heading is unknown"
+                    pieces.append((at, {}))
                     continue
-                to = {e["key"]: e["value"] for e in maps[i] or []}
+                dialect = json.loads(dialects.dictionary[code].as_py())
+                delimiter, width = dialect["delimiter"], len(dialect["fields"])
                 place: dict[str, int] = {}
-                for at, h in enumerate(headers[i]):
-                    if to.get(h) in values:
-                        place.setdefault(to[h], at)
-                groups.setdefault((delimiters[i], len(headers[i]), tuple(place.items())), []).append(i)
-            for (delimiter, width, items), rows in groups.items():
-                place, at = dict(items), np.array(rows)
+                for p, f in enumerate(dialect["fields"]):
+                    if f in FIELDS:
+                        place.setdefault(f, p)
                 own = raws.take(pa.array(at))
+                alone: list[tuple[int, dict[str, str | None]]] = []
                 for part, columns in _blocks(own, delimiter, width):
-                    strict = part
                     if columns is not None:
-                        for f, p in place.items():
-                            values[f][at[part]] = columns[p].to_numpy(zero_copy_only=False)
-                        strict = part[_bad_values(place, columns, len(part))]
-                    for j in strict.tolist():
-                        i = rows[j]
+                        pieces.append((at[part], {f: columns[p] for f, p in place.items()}))
+                        part = part[_bad_values(place, columns, len(part))]
+                    for j in part.tolist():
+                        i = int(at[j])
                         reason[i], detail[i], fields = diagnose(own[j].as_py(), delimiter, width, place)
-                        for f, p in place.items():
-                            values[f][i] = fields[p] if fields and reason[i] in (None, "value") else None
+                        if columns is None:
+                            alone.append((i, {f: fields[p] if fields and reason[i] in (None, "value") else None for f, p in place.items()}))
+                if alone:
+                    pieces.append((np.array([i for i, _ in alone]), {f: pa.array([v[f] for _, v in alone], pa.string()) for f in place}))
+            back = pa.array(np.argsort(np.concatenate([x for x, _ in pieces]))) if pieces else pa.array([], pa.int64())
+            values = [pa.concat_arrays([v.get(f, pa.nulls(len(x), pa.string())) for x, v in pieces]) if pieces else pa.array([], pa.string()) for f in FIELDS]
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in range(k)], pa.array(reason, pa.string()), pa.array(detail, pa.string()), *[pc.utf8_trim(pa.array(values[f], pa.string()), " ") for f in FIELDS]],
+                [*[batch.column(c) for c in range(k)], pa.array(reason, pa.string()), pa.array(detail, pa.string()), *[pc.utf8_trim(v.take(back), " ") for v in values]],
                 names=schema.names,
             )
 
@@ -217,10 +221,11 @@ def guarded_parse(lines: DataFrame, files: DataFrame, key: str = "line_id", file
     either table are not carried, so their names cannot clash. Memory is bounded by Arrow's batch, whatever the size of a
     file; the join is left to the optimiser, which broadcasts ``files`` only below its threshold and splits hot files.
     """
-    told = files.select(F.col(file_key).alias("__file"), "delimiter", "header", "header_map").dropDuplicates(["__file"])
+    # a file's dialect is one short text, so that a batch tells its dialects apart without looking at its rows
+    fields = F.transform("header", lambda h: F.coalesce(F.try_element_at("header_map", h), F.lit("")))
+    dialect = F.when(F.col("header").isNotNull(), F.to_json(F.struct(F.when(F.coalesce("delimiter", F.lit("")) == "", ",").otherwise(F.col("delimiter")).alias("delimiter"), F.when(F.col("header_map").isNull(), F.transform("header", lambda h: F.lit(""))).otherwise(fields).alias("fields"))))
+    told = files.select(F.col(file_key).alias("__file"), dialect.alias("__dialect")).dropDuplicates(["__file"])
     keys = [key, file_key]
-    j = lines.select(*keys, F.col(raw).alias("__raw")).join(told, F.col(file_key) == F.col("__file"), "left")
-    j = j.select(*keys, "__raw", "delimiter", "header", F.map_entries("header_map").alias("__map"))
+    j = lines.select(*keys, F.col(raw).alias("__raw")).join(told, F.col(file_key) == F.col("__file"), "left").select(*keys, "__raw", "__dialect")
     schema = T.StructType([j.schema[k] for k in keys] + [T.StructField(c, T.StringType()) for c in ("reason", "detail", *FIELDS)])
-    j = j.withColumn("__map", F.transform("__map", lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))))
     return j.mapInArrow(_parse(keys, schema), schema)
