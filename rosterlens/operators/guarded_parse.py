@@ -96,10 +96,12 @@ def _suspect(raws: pa.Array, delimiter: str, width: int) -> np.ndarray:
         return np.ones(len(raws), bool)  # beyond the columnar reader: every record is scanned strictly
     flags = lambda x: x.to_numpy(zero_copy_only=False)
     quoted = flags(pc.match_substring(raws, '"'))
-    # the reader takes a carriage return for the end of a record
-    out = flags(pc.match_substring(raws, "\r")) | (~quoted & (flags(pc.count_substring(raws, delimiter)) != width - 1))
+    # the reader takes a carriage return, and a line break outside quotes, for the end of a record
+    out = flags(pc.match_substring(raws, "\r")) | (~quoted & (flags(pc.match_substring(raws, "\n")) | (flags(pc.count_substring(raws, delimiter)) != width - 1)))
     at = np.flatnonzero(quoted)
-    out[at] |= ~flags(pc.match_substring_regex(raws.take(pa.array(at)), _strict(delimiter)))
+    some, d = raws.take(pa.array(at)), re.escape(delimiter)
+    bare = pc.replace_substring_regex(some, rf'(^|{d})"(?:[^"]|"")*"', r"\1")  # what is left of quoted fields
+    out[at] |= ~flags(pc.match_substring_regex(some, _strict(delimiter))) | (flags(pc.count_substring(bare, delimiter)) != width - 1)
     return out
 
 
