@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -137,6 +137,6 @@ def mix(sized: DataFrame, key: str, targets: DataFrame, total: float | None = No
     sample = drawn.filter("repeats > 0").select(key, "source", "tokens", "repeats")
     taken = sample.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"), F.sum("repeats").cast("bigint").alias("documents"))
     shares = targets.select("source", "target_share", "max_repeats").join(F.broadcast(taken), "source", "left").na.fill(0, ["tokens", "documents"])
-    all_tokens = taken.agg(F.sum("tokens").alias("all"))
-    shares = shares.join(F.broadcast(all_tokens)).withColumn("actual_share", F.col("tokens") / F.col("all")).drop("all")  # one row
+    every = F.sum("tokens").over(Window.partitionBy(F.lit(0)))  # a row for each wanted source
+    shares = shares.withColumn("actual_share", F.col("tokens") / F.nullif(every, F.lit(0)))
     return sample, shares
