@@ -22,6 +22,13 @@ def pivot_accounts(claims: DataFrame, entity: str) -> DataFrame:
 COLUMNS = ["row_id", "name", "decision", "entity_id", "label", "roles", "coverage", "label_match", *PLATFORMS, "needs_review", "spoke_ids", "alternates", "notes"]
 
 
+def accepted(claims: DataFrame, entity: str, order: str) -> DataFrame:
+    """entity, ``platform``, ``handles``: accepted accounts in the order they were claimed, each once."""
+    first = claims.filter("verdict = 'accept'").groupBy(entity, "platform", "handle").agg(F.min(order).alias("__o"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("__o", "handle"))), lambda x: x["handle"])
+    return first.groupBy(entity, "platform").agg(F.array_join(listed, " | ").alias("handles"))
+
+
 def sheet(df: DataFrame) -> DataFrame:
     """df as the result sheet: its columns in their order, as text, empty where there is nothing; further columns are left out."""
     return df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in df.columns else F.lit("").alias(c) for c in COLUMNS])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import top_k
+
 # Other headings for each field, headings that may mean several fields, and words for roles.
 ALIASES = {
     "name": ["talent name", "talent", "full name", "fullname", "title", "person", "person name", "celebrity", "influencer", "creator", "artist", "artist name", "profile name", "entity", "entity name"],
@@ -81,6 +83,16 @@ def validation_summary(rows: DataFrame, by: str) -> DataFrame:
     return rows.groupBy(by).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(name).alias("valid"), F.count_if(name & (F.trim(F.coalesce("role", F.lit(""))) != "")).alias("with_role"), F.count_if(F.coalesce(F.size("warnings"), F.lit(0)) > 0).alias("with_warnings"))
 
 
+def validation_preview(rows: DataFrame, by: str, row: str, warnings: int = 50, names: int = 10) -> DataFrame:
+    """For each ``by``: the first warnings, with their rows, and the names of the first valid rows. Both are bounded before they are gathered."""
+    said = rows.select(by, row, F.posexplode("warnings").alias("__p", "__w"))
+    first = top_k(said, [by], [F.col(row), F.col("__p")], warnings, "__k")
+    told = first.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__k", F.concat(F.lit("row "), F.col(row).cast("string"), F.lit(": "), "__w").alias("w")))), lambda x: x["w"]), "; ").alias("warnings"))
+    valid = top_k(rows.filter(F.trim(F.coalesce("name", F.lit(""))) != "").select(by, row, "name"), [by], [F.col(row)], names, "__k")
+    seen = valid.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__k", "name"))), lambda x: x["name"]), "; ").alias("preview"))
+    return told.join(seen, by, "full")
+
+
 def map_headers(header: Column) -> Column:
     """The field each heading of a sheet stands for, null where it is none or its field is taken.
 

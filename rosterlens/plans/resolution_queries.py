@@ -685,3 +685,35 @@ def property_validation(spark: SparkSession, folder: str) -> DataFrame:
 @query("SELECT DISTINCT intake_id, CASE expected_role " + " ".join(f"WHEN '{k}' THEN '{','.join(v)}'" for k, v in authorities.ANCHORS.items()) + f" ELSE '{','.join(authorities.ANCHORS_OF_OTHERS)}' END AS anchors FROM intake")
 def role_anchors(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "intake").select("intake_id", F.array_join(authorities.anchors(F.col("expected_role")), ",").alias("anchors")).distinct()
+
+
+@query("""WITH r AS (SELECT DISTINCT ON (file_id, row_number) file_id, row_number AS rn, name, warnings FROM parsed_row ORDER BY file_id, row_number, parsed_id),
+w AS (SELECT file_id, rn, generate_subscripts(warnings, 1) AS p, unnest(warnings) AS w FROM r), k AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY rn, p) AS k FROM w),
+n AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY rn) AS k FROM r WHERE trim(coalesce(name, '')) <> '')
+SELECT file_id, a.warnings, b.preview FROM (SELECT file_id, string_agg('row ' || rn || ': ' || w, '; ' ORDER BY k) AS warnings FROM k WHERE k <= 50 GROUP BY 1) a FULL JOIN (SELECT file_id, string_agg(name, '; ' ORDER BY k) AS preview FROM n WHERE k <= 10 GROUP BY 1) b USING (file_id)""")
+def validation_preview(spark: SparkSession, folder: str) -> DataFrame:
+    r = ranking.first_of(table(spark, folder, "parsed_row").select("file_id", "row_number", "parsed_id", "name", "warnings"), ["file_id", "row_number"], ["parsed_id"])
+    return ingest.validation_preview(r, "file_id", "row_number")
+
+
+@query("""SELECT entity_id, platform, string_agg(handle, ' | ' ORDER BY o, handle) AS handles FROM (SELECT entity_id, platform, handle, min(handle_id) AS o FROM handle WHERE verdict = 'accept' GROUP BY 1, 2, 3) GROUP BY 1, 2""")
+def accepted_in_order(spark: SparkSession, folder: str) -> DataFrame:
+    return export.accepted(table(spark, folder, "handle"), "entity_id", "handle_id")
+
+
+#: Answers in place of live ones: the first whose part the address holds counts.
+FIXTURES = [("press", "a press note"), (".example/1", "a page"), ("//", "any page")]
+
+
+@query("SELECT DISTINCT doc_id, CASE " + " ".join(f"WHEN contains(url, '{n}') THEN '{b}'" for n, b in FIXTURES) + " END AS body FROM documents")
+def fixture_answers(spark: SparkSession, folder: str) -> DataFrame:
+    return cache.fixture(table(spark, folder, "documents").select("doc_id", "url"), FIXTURES).select("doc_id", "body").distinct()
+
+
+@query("""SELECT DISTINCT entity_id, notable_work[1] AS title, CAST(birth_year AS VARCHAR) AS year FROM candidate WHERE len(notable_work) > 0 AND birth_year % 2 = 0""")
+def title_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    """A person's first work out of a title record, where one was found."""
+    c = table(spark, folder, "candidate").filter("size(notable_work) > 0")
+    found = F.when(F.col("birth_year") % 2 == 0, "True").otherwise("False")
+    body = F.to_json(F.struct(found.alias("Response"), F.element_at("notable_work", 1).alias("Title"), F.col("birth_year").cast("string").alias("Year")))
+    return c.select("entity_id", discovery.title_of(body).alias("t")).filter("t IS NOT NULL").select("entity_id", "t.title", "t.year").distinct()
