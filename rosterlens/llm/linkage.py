@@ -388,12 +388,13 @@ def link(requests: DataFrame, candidates: DataFrame, request: str, record: str)
 
 
 def profiles(requests: DataFrame, candidates: DataFrame, request: str, record: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(requests, candidates, profiles of requests, profiles of candidates), the former two written to the shared folder."""
+    """(requests, candidates, profiles of requests, profiles of candidates), all written to the shared folder."""
     requests, candidates = requests.dropDuplicates([request]).na.fill("", ["given", "middle"]), candidates.dropDuplicates([record]).na.fill("", ["given", "middle"])
     requests = materialise(requests.select(request, *ASKED).withColumn("__a", F.xxhash64(*ASKED)), "requests")
     candidates = materialise(candidates.select(record, *KNOWN).withColumn("__b", F.xxhash64(*KNOWN)), "candidates")
-    a = requests.select("__a", F.struct(*ASKED).alias("pa")).dropDuplicates(["__a"])
-    return requests, candidates, a, candidates.select("__b", F.struct(*KNOWN).alias("pb")).dropDuplicates(["__b"])
+    # profiles are read by every step that follows
+    a = materialise(requests.select("__a", F.struct(*ASKED).alias("pa")).dropDuplicates(["__a"]), "asked")
+    return requests, candidates, a, materialise(candidates.select("__b", F.struct(*KNOWN).alias("pb")).dropDuplicates(["__b"]), "known")
 
 
 def matches(pairs: DataFrame, requests: DataFrame, candidates: DataFrame, a: DataFrame, b: DataFrame, request: str, record: str) -> DataFrame:
