@@ -112,7 +112,7 @@ def test_the_cap_is_asked_for_where_it_can_decide():
 
 
 #: Queries whose model of clean text must rest on all rows.
-WHOLE = ["p3_linked", "p4_restored"]
+WHOLE = ["p3_linked", "p4_restored", "p5_found"]
 
 
 @pytest.mark.parametrize("query", WHOLE)
